@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from annotrail.llm.common import like, stored, text_key
 
-MAX_RATIO = 0.2
+MAX_RATIO = 0.1
 MIN_PAGES = 5
 
 

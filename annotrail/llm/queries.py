@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from annotrail.llm import decontaminate, line_dedup, mixing, quality_rules
+from annotrail.llm import decontaminate, line_dedup, mixing, quality_rules, toxicity
 from annotrail.llm.common import table
 
 
@@ -26,8 +26,12 @@ def op8_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_compression_bands, op4_pareto_mix, op5_site_frequency, op8_suffix_automaton)
+    f.__name__: f for f in (op3_compression_bands, op4_pareto_mix, op5_site_frequency, op8_suffix_automaton, op9_counterfactual_toxicity)
 }
 
 ORACLE: dict[str, str] = {
@@ -88,7 +92,7 @@ p AS (SELECT DISTINCT coalesce('=' || source, '') AS h, text FROM d WHERE text I
 l AS (SELECT h, text, unnest(list_distinct(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')))) AS line FROM p),
 n AS (SELECT h, line, count(*) AS n FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY h, line),
 t AS (SELECT h, count(*) AS pages FROM p GROUP BY h),
-b AS (SELECT h, line FROM n JOIN t USING (h) WHERE n >= 5 AND n > pages * 0.2),
+b AS (SELECT h, line FROM n JOIN t USING (h) WHERE n >= 5 AND n > pages * 0.1),
 s AS (SELECT h, list(line) AS drops FROM b GROUP BY h),
 k AS (
   SELECT doc_id, source, text, string_split(text, chr(10)) AS ls,
