@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from annotrail.llm import decontaminate, line_dedup, mixing, quality_rules, toxicity
+from annotrail.llm import decontaminate, line_dedup, mixing, near_dup, quality_rules, toxicity
 from annotrail.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op5_site_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op7_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.report(table(spark, sf_dir, "documents"))
+
+
 def op8_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -31,7 +35,7 @@ def op9_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_compression_bands, op4_pareto_mix, op5_site_frequency, op8_suffix_automaton, op9_counterfactual_toxicity)
+    f.__name__: f for f in (op3_compression_bands, op4_pareto_mix, op5_site_frequency, op7_probminhash, op8_suffix_automaton, op9_counterfactual_toxicity)
 }
 
 ORACLE: dict[str, str] = {
