@@ -71,8 +71,9 @@ class Shingler:
         known = self.known
         if len(known) > 1_000_000:
             known.clear()
-        for w in set(words) - known.keys():
-            known[w] = xxhash.xxh64_intdigest(w)
+        for w in set(words):
+            if w not in known:
+                known[w] = xxhash.xxh64_intdigest(w)
         code = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         n = max(1, len(words) - self.size + 1)
         out = np.full(n, len(words) if len(words) < self.size else self.size, np.uint64)
