@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from annotrail.llm import decontaminate, line_dedup, mixing, near_dup, quality_rules, toxicity
+from annotrail.llm import decontaminate, line_dedup, mixing, near_dup, quality_rules, suffix_dedup, toxicity
 from annotrail.llm.common import table
 
 
+def op2_suffix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op9_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_compression_bands, op4_pareto_mix, op5_site_frequency, op7_probminhash, op8_suffix_automaton, op9_counterfactual_toxicity)
+    f.__name__: f for f in (op2_suffix_doubling, op3_compression_bands, op4_pareto_mix, op5_site_frequency, op7_probminhash, op8_suffix_automaton, op9_counterfactual_toxicity)
 }
 
 ORACLE: dict[str, str] = {
