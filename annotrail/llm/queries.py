@@ -6,10 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from annotrail.llm import decontaminate, line_dedup, mixing, near_dup, quality_rules, suffix_dedup, toxicity
+from annotrail.llm import (
+    decontaminate,
+    language_id,
+    line_dedup,
+    mixing,
+    near_dup,
+    quality_classifier,
+    quality_rules,
+    suffix_dedup,
+    toxicity,
+    warc_audit,
+)
 from annotrail.llm.common import table
 
 
+def op1_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.scored(table(spark, sf_dir, "documents"))
+
+
 def op2_suffix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -26,6 +41,10 @@ def op5_site_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op6_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_audit.report(table(spark, sf_dir, "pages"))
+
+
 def op7_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.report(table(spark, sf_dir, "documents"))
 
@@ -38,8 +57,24 @@ def op9_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_evidence_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_suffix_doubling, op3_compression_bands, op4_pareto_mix, op5_site_frequency, op7_probminhash, op8_suffix_automaton, op9_counterfactual_toxicity)
+    f.__name__: f
+    for f in (
+        op1_weak_label_quality,
+        op2_suffix_doubling,
+        op3_compression_bands,
+        op4_pareto_mix,
+        op5_site_frequency,
+        op6_merkle_audit,
+        op7_probminhash,
+        op8_suffix_automaton,
+        op9_counterfactual_toxicity,
+        op10_evidence_fusion,
+    )
 }
 
 ORACLE: dict[str, str] = {
@@ -111,6 +146,33 @@ SELECT doc_id, source, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines,
        CAST(coalesce(len(ls) - len(kept), 0) AS BIGINT) AS n_dropped,
        CASE WHEN text IS NULL THEN NULL ELSE array_to_string(kept, chr(10)) END AS text
 FROM k
+""",
+    "op6_merkle_audit": r"""
+WITH p AS (
+  SELECT page_id, url, html, substr(md5(url), 1, 2) AS fault FROM pages
+), r AS (
+  SELECT page_id, url, html, html AS b, false AS lost FROM p WHERE false
+  UNION ALL
+  SELECT page_id, url, html,
+         CASE fault WHEN '00' THEN '?' || substr(html, 2) WHEN '01' THEN substr(html, 1, length(html) // 2) ELSE html END,
+         coalesce(fault = '02', false)
+  FROM p
+), w AS (
+  SELECT page_id, lost, 'WARC/1.0' || crlf || 'WARC-Type: resource' || crlf || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), 'none') || '>' || crlf
+         || coalesce('WARC-Target-URI: ' || url || crlf, '') || 'Content-Type: text/html' || crlf || 'Content-Length: ' AS head,
+         coalesce(html, '') AS a, coalesce(b, '') AS b, crlf || crlf AS gap
+  FROM r, (SELECT chr(13) || chr(10) AS crlf)
+), d AS (
+  SELECT page_id, lost, head || strlen(a) || gap || a || gap AS x, head || strlen(b) || gap || b || gap AS y FROM w
+), m AS (
+  SELECT page_id, strlen(x) AS length, sha256(x) AS digest, count(*) AS copies, bool_or(lost) AS lost, bool_and(sha256(x) = sha256(y)) AS same
+  FROM d GROUP BY page_id, x
+), n AS (SELECT *, coalesce(page_id - (SELECT min(page_id) FROM pages) + 4096, 0) AS number FROM m)
+SELECT page_id, CAST(number // 4096 AS BIGINT) AS file,
+       CAST(coalesce(sum(length * copies) OVER (PARTITION BY number // 4096 ORDER BY number, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset,
+       CAST(length AS BIGINT) AS length, digest, CAST(copies AS BIGINT) AS copies,
+       CASE WHEN lost THEN 'missing' WHEN same THEN 'intact' ELSE 'altered' END AS status
+FROM n
 """,
     "op8_suffix_automaton": r"""
 WITH d AS (
