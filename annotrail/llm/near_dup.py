@@ -13,7 +13,9 @@ bucket of at most ``SMALL`` texts all pairs are; in a larger one each text is
 paired with ``LEADERS`` leaders of the bucket: the one most central, judged by
 the sizes of the buckets it is in, and some drawn by hash. Texts that are then
 not in the bucket's largest class are paired with every text of another class
-in it. So any two texts that share a band either are compared or are in one
+in it that can be similar: what two texts have in common is at most what each
+shares with any text of such buckets, an exact bound that spares most of the
+pairs between copies with edits of their own. So any two texts that share a band either are compared or are in one
 class already; none is capped. Pairs whose signatures agree in ``MIN_AGREE`` of
 the registers are verified: they link if the exact Jaccard similarity of their
 shingle sets is ``THRESHOLD`` or more. Classes are the connected components.
@@ -181,6 +183,24 @@ def _linked(pairs: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
     return stored(by_row(both, ["a", "b", "ta", "tb"], "a binary, b binary", make), "links")
 
 
+def _shared(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, n, s) of the texts ``ids``: their shingles, and those that another of them has too."""
+
+    def make():
+        shingles = Shingler()
+
+        def one(ident, text):
+            yield ident, np.unique(shingles(text)).view(np.int64).tolist()
+
+        return one
+
+    text = texts.join(ids, "id", "left_semi").groupBy("id").agg(F.first("t").alias("t"))
+    sets = stored(by_row(text, ["id", "t"], "id binary, x array<bigint>", make), "shingles")
+    alone = sets.select("id", F.explode("x").alias("x")).groupBy("x").agg(F.count("*").alias("k"), F.min("id").alias("id")).filter("k = 1")
+    alone = alone.groupBy("id").agg(F.count("*").alias("u"))
+    return sets.select("id", F.size("x").alias("n")).join(alone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("s"))
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, members): rows (doc, id) with the text's name, and members (id, component) of classes with several texts."""
     signed = stored(_signed(docs, id_col, text_col), "signatures")
@@ -213,10 +233,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         placed = large.select("bucket", "id").join(found, "id", "left").withColumn("c", F.coalesce("component", "id"))
         placed = stored(placed.select("bucket", "id", "c"), "placed")
         main = placed.groupBy("bucket", "c").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("kinds"))
-        rest = placed.join(main.filter("kinds > 1"), "bucket").filter("c <> main")
-        rest = stored(rest.select("bucket", F.col("id").alias("x"), F.col("c").alias("cx")), "rest")
-        if not rest.isEmpty():
-            more = rest.join(placed, "bucket").filter("cx <> c").select(*_pairs(F.col("x"), F.col("id"))).distinct()
+        mixed = stored(placed.join(main.filter("kinds > 1").select("bucket", "main"), "bucket"), "mixed")
+        if not mixed.isEmpty():
+            mixed = stored(mixed.join(_shared(mixed.select("id").distinct(), texts), "id"), "shared")
+            x = mixed.filter("c <> main").select("bucket", F.col("id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("s").alias("sx"))
+            # What two texts have in common is at most what each shares with any other at all.
+            common = F.least("s", "sx")
+            may = common >= THRESHOLD * (F.col("n") + F.col("nx") - common) - 1e-9
+            more = x.join(mixed, (x["bucket"] == mixed["bucket"]) & (F.col("cx") != F.col("c")) & may).select(*_pairs(F.col("x"), F.col("id"))).distinct()
             more = stored(more.join(pairs, ["a", "b"], "left_anti"), "rest-pairs")
             extra = _linked(more, sigs, texts)
             if not extra.isEmpty():
