@@ -12,11 +12,10 @@ texts are cut into bands, and texts that share a band are candidates. In a
 bucket of at most ``SMALL`` texts all pairs are; in a larger one each text is
 paired with ``LEADERS`` leaders of the bucket: the one most central, judged by
 the sizes of the buckets it is in, and some drawn by hash. Texts that are then
-not in the bucket's largest class are paired with every text of another class
-in it that can be similar: what two texts have in common is at most what each
-shares with any text of such buckets, an exact bound that spares most of the
-pairs between copies with edits of their own. So any two texts that share a band either are compared or are in one
-class already; none is capped. Pairs whose signatures agree in ``MIN_AGREE`` of
+not in the bucket's largest class are compared with every text of another class
+in it, a block of ``BLOCK`` texts against another at a time, which counts common
+shingles without a row for each pair. So any two texts that share a band either
+are compared or are in one class already; none is capped. Pairs whose signatures agree in ``MIN_AGREE`` of
 the registers are verified: they link if the exact Jaccard similarity of their
 shingle sets is ``THRESHOLD`` or more. Classes are the connected components.
 
@@ -48,6 +47,9 @@ REGISTERS = BANDS * ROWS
 MIN_AGREE = 0.62
 SMALL = 12
 LEADERS = 6
+BLOCK = 32
+#: Bits of the largest filter that is sent out to find wanted texts: 32 MB.
+MAX_BITS = 1 << 28
 
 _U = np.uint64
 
@@ -166,7 +168,7 @@ def _linked(pairs: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
     near = pairs.join(sa, "a").join(sb, "b").filter(agree >= MIN_AGREE * REGISTERS).select("a", "b")
     near = stored(near, "near-pairs")
     wanted = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    text = stored(texts.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("t").alias("t")), "near-texts")
+    text = stored(_among(texts, wanted), "near-texts")
     both = near.join(text.toDF("a", "ta"), "a").join(text.toDF("b", "tb"), "b")
 
     def make():
@@ -183,22 +185,90 @@ def _linked(pairs: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
     return stored(by_row(both, ["a", "b", "ta", "tb"], "a binary, b binary", make), "links")
 
 
-def _shared(ids: DataFrame, texts: DataFrame) -> DataFrame:
-    """(id, n, s) of the texts ``ids``: their shingles, and those that another of them has too."""
+def _among(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """One row (id, t) for each of ``ids``.
+
+    A bitmap of hashed ids, of ``MAX_BITS`` at most, drops other texts where they are read, so only about those wanted move.
+    """
+    bits = 1 << 16
+    while bits < min(MAX_BITS, 16 * ids.count()):
+        bits *= 2
+    place = F.pmod(F.xxhash64("id"), F.lit(bits))
+    part, bit = F.floor(place / 32768).cast("int"), (place % 32768).cast("int")
+    maps = ids.select(part.alias("part"), bit.cast("long").alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("map"))
+    byte = F.conv(F.hex(F.expr("substring(map, cast(bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    near = texts.withColumn("part", part).withColumn("bit", bit).join(F.broadcast(maps), "part")
+    near = near.filter(F.expr("bit >= 0") & (byte.bitwiseAND(F.expr("shiftleft(1, cast(bit % 8 as int))")) != 0)).select("id", "t")
+    return near.join(ids, "id", "left_semi").groupBy("id").agg(F.first("t").alias("t"))
+
+
+def _blocks(rows: DataFrame, name: str) -> DataFrame:
+    """(bucket, name, members): each bucket's rows in blocks of about BLOCK."""
+    size = rows.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    cut = rows.join(size, "bucket").withColumn(name, F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    return cut.groupBy("bucket", name).agg(F.first("parts").cast("int").alias("parts"), F.collect_list(F.struct("id", "c", "x")).alias("members"))
+
+
+def _across(mixed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Similar pairs (a, b), by 32-bit names of shingles, of texts outside their bucket's main class with texts of other classes in it."""
+    spark = mixed.sparkSession
 
     def make():
         shingles = Shingler()
 
         def one(ident, text):
-            yield ident, np.unique(shingles(text)).view(np.int64).tolist()
+            yield ident, np.unique((shingles(text) & _U(0xFFFFFFFF)).astype(np.uint32).view(np.int32)).tolist()
 
         return one
 
-    text = texts.join(ids, "id", "left_semi").groupBy("id").agg(F.first("t").alias("t"))
-    sets = stored(by_row(text, ["id", "t"], "id binary, x array<bigint>", make), "shingles")
-    alone = sets.select("id", F.explode("x").alias("x")).groupBy("x").agg(F.count("*").alias("k"), F.min("id").alias("id")).filter("k = 1")
-    alone = alone.groupBy("id").agg(F.count("*").alias("u"))
-    return sets.select("id", F.size("x").alias("n")).join(alone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("s"))
+    sets = stored(by_row(_among(texts, mixed.select("id").distinct()), ["id", "t"], "id binary, x array<int>", make), "shingles")
+    rows = stored(mixed.join(sets, "id"), "mixed-shingles")
+    rest = _blocks(rows.filter("c <> main"), "i").drop("parts")
+    every = _blocks(rows, "j")
+    # Each block of the rest names its partners, so a large bucket's pairs of blocks spread.
+    parts = every.groupBy("bucket").agg(F.max("parts").alias("parts"))
+    rest = rest.join(parts, "bucket").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    both = rest.select("bucket", "j", F.col("members").alias("one")).join(every.select("bucket", "j", F.col("members").alias("two")), ["bucket", "j"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: set[tuple[bytes, bytes]] = set()
+            for k in range(batch.num_rows):
+                found.update(_similar(*(batch.column(c)[k].values for c in (0, 1))))
+            pairs = sorted(found)
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    conf = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(conf, None)
+    spark.conf.set(conf, str(16 << 20))  # blocks are large rows
+    try:
+        return stored(both.select("one", "two").mapInArrow(run, "a binary, b binary").distinct(), "across")
+    finally:
+        if before is None:
+            spark.conf.unset(conf)
+        else:
+            spark.conf.set(conf, before)
+
+
+def _similar(one: pa.StructArray, two: pa.StructArray) -> Iterator[tuple[bytes, bytes]]:
+    """Pairs of two blocks of (id, c, x) of different classes whose sets x are similar."""
+    ids, classes_, sets = ([block.field(k) for block in (one, two)] for k in range(3))
+    flat = sets[1].flatten().to_numpy()
+    size = np.diff(sets[1].offsets.to_numpy())
+    owner = np.repeat(np.arange(len(two)), size)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    of = [c.to_pylist() for c in classes_]
+    for k in range(len(one)):
+        x = sets[0][k].values.to_numpy()
+        low, high = np.searchsorted(flat, x, "left"), np.searchsorted(flat, x, "right")
+        n = high - low
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        common = np.bincount(owner[at], minlength=len(two))
+        for j in np.flatnonzero(common >= (THRESHOLD - 0.01) * (len(x) + size - common)):
+            if of[0][k] != of[1][j]:
+                a, b = sorted((ids[0][k].as_py(), ids[1][int(j)].as_py()))
+                yield a, b
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -235,14 +305,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         main = placed.groupBy("bucket", "c").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("kinds"))
         mixed = stored(placed.join(main.filter("kinds > 1").select("bucket", "main"), "bucket"), "mixed")
         if not mixed.isEmpty():
-            mixed = stored(mixed.join(_shared(mixed.select("id").distinct(), texts), "id"), "shared")
-            x = mixed.filter("c <> main").select("bucket", F.col("id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("s").alias("sx"))
-            # What two texts have in common is at most what each shares with any other at all.
-            common = F.least("s", "sx")
-            may = common >= THRESHOLD * (F.col("n") + F.col("nx") - common) - 1e-9
-            more = x.join(mixed, (x["bucket"] == mixed["bucket"]) & (F.col("cx") != F.col("c")) & may).select(*_pairs(F.col("x"), F.col("id"))).distinct()
-            more = stored(more.join(pairs, ["a", "b"], "left_anti"), "rest-pairs")
-            extra = _linked(more, sigs, texts)
+            extra = _linked(_across(mixed, texts).join(pairs, ["a", "b"], "left_anti"), sigs, texts)
             if not extra.isEmpty():
                 found = stored(components(links.union(extra)), "components")
     return signed.select("doc", "id", F.col("sig").isNotNull().alias("worded")), found
