@@ -36,6 +36,8 @@ BUCKETS = 1 << 14
 EVIDENCE = 40.0
 #: Texts' worth of the wider prior in a host's and a domain's.
 STRENGTH = 5.0
+#: Texts' worth of the opinion that declarations and addresses are right in four of five cases.
+TRUST_PRIOR = 20.0
 MIN_POSTERIOR = 0.5
 
 #: Languages that country suffixes stand for.
@@ -151,14 +153,12 @@ def identify(rows: DataFrame, keep: list[str], languages: list[str], table: np.n
     everywhere /= everywhere.sum()
 
     best = F.when(F.col("has_text"), (F.array_position("post", F.array_max("post")) - 1).cast("int"))
-    trust = seen.agg(*[
-        (F.coalesce(F.avg(F.when(F.col(c).isNotNull() & best.isNotNull(), (F.col(c) == best).cast("double"))), F.lit(0.5))).alias(c)
-        for c in ("declared", "named")
-    ]).first()
+    both = {c: F.col(c).isNotNull() & best.isNotNull() for c in ("declared", "named")}
+    trust = seen.agg(*[((F.count_if(both[c] & (F.col(c) == best)) + 0.8 * TRUST_PRIOR) / (F.count_if(both[c]) + TRUST_PRIOR)).alias(c) for c in both]).first()
 
     def says(column: str) -> Column:
         """Log chances of the evidence by language; zeros where it is missing."""
-        right = min(max(trust[column], 0.05), 0.98)
+        right = min(max(trust[column], 1 / n), 0.98)  # never held against a language
         wrong = (1 - right) / max(n - 1, 1)
         given = [F.when(F.col(column) == k, float(np.log(right))).otherwise(float(np.log(wrong))) for k in range(n)]
         return F.when(F.col(column).isNull(), F.array_repeat(F.lit(0.0), n)).otherwise(F.array(*given))
@@ -178,7 +178,7 @@ def identify(rows: DataFrame, keep: list[str], languages: list[str], table: np.n
     names = F.array(*[F.lit(x) for x in languages])
     out = wide.select(
         *keep, "host",
-        F.element_at(names, best + 1).alias("text_lang"),
+        F.when(F.col("has_text"), F.element_at(names, F.array_position("post", F.array_max("post")).cast("int"))).alias("text_lang"),
         F.element_at(names, F.array_position("score", top).cast("int")).alias("lang"),
         (1 / rest).alias("posterior"),
     )

@@ -70,11 +70,11 @@ def features(word: str) -> list[int]:
     return [crc32(p.encode()) >> 1 for p in parts]
 
 
-def swapped(found: set[str]) -> set[str] | None:
-    """The words with each group term replaced; None if there is none."""
+def swapped(found: set[str]) -> list[set[str]]:
+    """The words with each group term replaced by the next of its kind, and by an unknown one, which has no weight; none without terms."""
     if found.isdisjoint(SWAP):
-        return None
-    return {SWAP.get(w, w) for w in found}
+        return []
+    return [{SWAP.get(w, w) for w in found}, found - SWAP.keys()]
 
 
 @dataclass(frozen=True)
@@ -104,15 +104,15 @@ class Model:
         return score
 
 
-def fit(samples: list[tuple[float, list[int], list[int] | None]], n_features: int, swap_penalty: float = SWAP_PENALTY):
-    """Weights and intercept from (label, features, features after the swap or None).
+def fit(samples: list[tuple[float, list[int], list[list[int]]]], n_features: int, swap_penalty: float = SWAP_PENALTY):
+    """Weights and intercept from (label, features, features after each swap).
 
     Nesterov's accelerated descent on the mean logistic loss + ridge + swap penalty.
     """
     y = np.array([s[0] for s in samples])
     row = np.repeat(np.arange(len(samples)), [len(s[1]) for s in samples])
     col = np.fromiter((x for s in samples for x in s[1]), np.int64)
-    pairs = [(set(s[1]), set(s[2])) for s in samples if s[2] is not None]
+    pairs = [(set(s[1]), set(g)) for s in samples for g in s[2]]
     change = [(k, x, sign) for k, (a, b) in enumerate(pairs) for x, sign in [*((x, 1.0) for x in sorted(b - a)), *((x, -1.0) for x in sorted(a - b))]]
     c_row = np.array([c[0] for c in change], np.int64)
     c_col = np.array([c[1] for c in change], np.int64)
@@ -168,13 +168,12 @@ def train(
     def make():
         def one(y, text):
             found = words(text)
-            other = swapped(found)
-            pick = lambda ws: None if ws is None else sorted({f for w in ws for f in features(w)})
-            yield y, pick(found), pick(other)
+            pick = lambda ws: sorted({f for w in ws for f in features(w)})
+            yield y, pick(found), [pick(g) for g in swapped(found)]
 
         return one
 
-    rows = stored(by_row(rows, ["y", "t"], "y double, f array<bigint>, g array<bigint>", make), "toxicity-rows")
+    rows = stored(by_row(rows, ["y", "t"], "y double, f array<bigint>, g array<array<bigint>>", make), "toxicity-rows")
     total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0.0)).alias("pos")).first()
     pos, neg = total["pos"], total["n"] - total["pos"]
     if not pos or not neg:
@@ -193,12 +192,12 @@ def train(
 
     def slim():
         def one(y, f, g):
-            yield y, [at[x] for x in f if x in here], None if g is None else [at[x] for x in g if x in here]
+            yield y, [at[x] for x in f if x in here], [[at[x] for x in h if x in here] for h in g]
 
         return one
 
-    slimmed = by_row(rows, ["y", "f", "g"], "y double, f array<bigint>, g array<bigint>", slim)
-    samples = [(r.y, list(r.f), None if r.g is None else list(r.g)) for r in slimmed.collect()]
+    slimmed = by_row(rows, ["y", "f", "g"], "y double, f array<bigint>, g array<array<bigint>>", slim)
+    samples = [(r.y, list(r.f), [list(h) for h in r.g]) for r in slimmed.collect()]
     samples.sort(key=lambda s: (s[0], s[1]))
     w, b = fit(samples, len(chosen), swap_penalty)
     return Model({f: float(w[k]) for f, k in at.items() if w[k]}, float(b))
