@@ -185,20 +185,26 @@ def _linked(pairs: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
     return stored(by_row(both, ["a", "b", "ta", "tb"], "a binary, b binary", make), "links")
 
 
-def _among(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """One row (id, t) for each of ``ids``.
+def _perhaps(rows: DataFrame, wanted: DataFrame, key: list[str]) -> DataFrame:
+    """``rows`` with __hit: false where the key surely isn't among those of ``wanted``.
 
-    A bitmap of hashed ids, of ``MAX_BITS`` at most, drops other texts where they are read, so only about those wanted move.
+    A bitmap of hashed keys, of ``MAX_BITS`` at most, goes to all executors; so rows that a join wouldn't touch need not move for it.
     """
     bits = 1 << 16
-    while bits < min(MAX_BITS, 16 * ids.count()):
+    while bits < min(MAX_BITS, 16 * wanted.count()):
         bits *= 2
-    place = F.pmod(F.xxhash64("id"), F.lit(bits))
+    place = F.pmod(F.xxhash64(*key), F.lit(bits))
     part, bit = F.floor(place / 32768).cast("int"), (place % 32768).cast("int")
-    maps = ids.select(part.alias("part"), bit.cast("long").alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("map"))
-    byte = F.conv(F.hex(F.expr("substring(map, cast(bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    near = texts.withColumn("part", part).withColumn("bit", bit).join(F.broadcast(maps), "part")
-    near = near.filter(F.expr("bit >= 0") & (byte.bitwiseAND(F.expr("shiftleft(1, cast(bit % 8 as int))")) != 0)).select("id", "t")
+    maps = wanted.select(part.alias("__part"), bit.cast("long").alias("__bit")).groupBy("__part").agg(F.bitmap_construct_agg("__bit").alias("__map"))
+    byte = F.conv(F.hex(F.expr("substring(__map, cast(__bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    hit = byte.bitwiseAND(F.expr("shiftleft(1, cast(__bit % 8 as int))")) != 0
+    rows = rows.withColumn("__part", part).withColumn("__bit", bit).join(F.broadcast(maps), "__part", "left")
+    return rows.withColumn("__hit", F.coalesce(hit, F.lit(False))).drop("__part", "__bit", "__map")
+
+
+def _among(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """One row (id, t) for each of ``ids``; only about the texts wanted move."""
+    near = _perhaps(texts, ids, ["id"]).filter("__hit").select("id", "t")
     return near.join(ids, "id", "left_semi").groupBy("id").agg(F.first("t").alias("t"))
 
 
@@ -341,12 +347,17 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     # Only classes with several rows lose some; the others need no look-up.
     several = stored(per.filter("size > 1").select("c", "first"), "classes")
     gone = rows.join(several, "c").filter(~(F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("id") == F.col("first.id"))))
+    pair = ["__doc", "__id"]
     gone = stored(gone.select(F.col("doc").alias("__doc"), F.col("id").alias("__id")).distinct(), "gone")
-    again = stored(rows.filter("c is not null").join(several, "c", "left_semi").groupBy("doc", "id").count().filter("count > 1").select(F.col("doc").alias("__doc"), F.col("id").alias("__id")), "again")
-    named = plain.withColumn("__text_id", F.unhex(F.md5(F.col(text).cast("binary"))))
-    same = F.col(ident).eqNullSafe(F.col("__doc")) & (F.col("__text_id") == F.col("__id"))
-    kept = named.join(gone, same, "left_anti")
-    if not again.isEmpty():
-        once = kept.join(again, same, "left_semi").dropDuplicates([ident, "__text_id"])
-        kept = kept.join(again, same, "left_anti").unionByName(once)
+    again = rows.filter("c is not null").join(several, "c", "left_semi").groupBy("doc", "id").count().filter("count > 1")
+    again = stored(again.select(F.col("doc").alias("__doc"), F.col("id").alias("__id")), "again")
+    named = plain.withColumn("__doc", F.col(ident)).withColumn("__id", F.unhex(F.md5(F.col(text).cast("binary"))))
+    same = lambda other: named["__doc"].eqNullSafe(other["__doc"]) & named["__id"].eqNullSafe(other["__id"])
+    named = _perhaps(named, gone.union(again), pair)
+    kept, some = named.filter("not __hit"), named.filter("__hit").join(gone, same(gone), "left_anti")
+    if again.isEmpty():
+        kept = kept.unionByName(some)
+    else:
+        once = some.join(again, same(again), "left_semi").dropDuplicates(pair)
+        kept = kept.unionByName(some.join(again, same(again), "left_anti")).unionByName(once)
     return like(kept.select(*plain.columns).toDF(*names), docs)

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annotrail.llm.common import by_row, stored
+from annotrail.llm.common import by_row
 
 MAX_TRAIN = 4000
 DIM = 1 << 14
@@ -175,13 +175,11 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         def one(text):
             raw = (text or "").encode()
             if raw.split():
-                yield list(votes(statistics(raw))), text
+                yield (list(votes(statistics(raw))),)
 
         return one
 
-    voted = by_row(docs, [text_col], "v array<int>, t string", count).select("v", "t")
-    voted = voted.select("v", F.xxhash64("t").alias("h"))
-    voted = stored(voted, "quality-votes")
+    voted = by_row(docs, [text_col], "v array<int>", count)
     counts = {tuple(r.v): r.n for r in voted.groupBy("v").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return docs.select(F.col(id_col), F.lit(None).cast("array<int>").alias("votes"), F.lit(0.0).alias("posterior"), F.lit(0.0).alias("score"), F.lit(False).alias("kept"))
