@@ -205,7 +205,8 @@ def _perhaps(rows: DataFrame, wanted: DataFrame, key: list[str]) -> DataFrame:
 def _among(texts: DataFrame, ids: DataFrame) -> DataFrame:
     """One row (id, t) for each of ``ids``; only about the texts wanted move."""
     near = _perhaps(texts, ids, ["id"]).filter("__hit").select("id", "t")
-    return near.join(ids, "id", "left_semi").groupBy("id").agg(F.first("t").alias("t"))
+    # An inner join: a semi join would be planned below the bitmap and move all texts.
+    return near.join(ids, "id").groupBy("id").agg(F.first("t").alias("t"))
 
 
 def _blocks(rows: DataFrame, name: str) -> DataFrame:
@@ -216,18 +217,18 @@ def _blocks(rows: DataFrame, name: str) -> DataFrame:
 
 
 def _across(mixed: DataFrame, texts: DataFrame) -> DataFrame:
-    """Similar pairs (a, b), by 32-bit names of shingles, of texts outside their bucket's main class with texts of other classes in it."""
+    """Links (a, b) of texts outside their bucket's main class with texts of other classes in it: one for each text and class, which connects them as well as all would."""
     spark = mixed.sparkSession
 
     def make():
         shingles = Shingler()
 
         def one(ident, text):
-            yield ident, np.unique((shingles(text) & _U(0xFFFFFFFF)).astype(np.uint32).view(np.int32)).tolist()
+            yield ident, np.unique(shingles(text)).view(np.int64).tolist()
 
         return one
 
-    sets = stored(by_row(_among(texts, mixed.select("id").distinct()), ["id", "t"], "id binary, x array<int>", make), "shingles")
+    sets = stored(by_row(_among(texts, mixed.select("id").distinct()), ["id", "t"], "id binary, x array<bigint>", make), "shingles")
     rows = stored(mixed.join(sets, "id"), "mixed-shingles")
     rest = _blocks(rows.filter("c <> main"), "i").drop("parts")
     every = _blocks(rows, "j")
@@ -238,17 +239,19 @@ def _across(mixed: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: set[tuple[bytes, bytes]] = set()
+            found: dict[tuple[bytes, bytes], bytes] = {}
             for k in range(batch.num_rows):
-                found.update(_similar(*(batch.column(c)[k].values for c in (0, 1))))
-            pairs = sorted(found)
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], names=["a", "b"])
+                for a, c, b in _similar(*(batch.column(n)[k].values for n in (0, 1))):
+                    found.setdefault((a, c), b)
+            rows = [(*k, found[k]) for k in sorted(found)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in range(3)], names=["a", "c", "b"])
 
     conf = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(conf, None)
     spark.conf.set(conf, str(16 << 20))  # blocks are large rows
     try:
-        return stored(both.select("one", "two").mapInArrow(run, "a binary, b binary").distinct(), "across")
+        links = both.select("one", "two").mapInArrow(run, "a binary, c binary, b binary")
+        return stored(links.groupBy("a", "c").agg(F.min("b").alias("b")).select(*_pairs(F.col("a"), F.col("b"))), "across")
     finally:
         if before is None:
             spark.conf.unset(conf)
@@ -256,25 +259,24 @@ def _across(mixed: DataFrame, texts: DataFrame) -> DataFrame:
             spark.conf.set(conf, before)
 
 
-def _similar(one: pa.StructArray, two: pa.StructArray) -> Iterator[tuple[bytes, bytes]]:
-    """Pairs of two blocks of (id, c, x) of different classes whose sets x are similar."""
-    ids, classes_, sets = ([block.field(k) for block in (one, two)] for k in range(3))
+def _similar(one: pa.StructArray, two: pa.StructArray) -> Iterator[tuple[bytes, bytes, bytes]]:
+    """(a, c, b) for texts a of one block and b, of another class c, of the other whose sets x are similar."""
+    ids, classes_ = ([block.field(k).to_pylist() for block in (one, two)] for k in range(2))
+    sets = [block.field(2) for block in (one, two)]
     flat = sets[1].flatten().to_numpy()
     size = np.diff(sets[1].offsets.to_numpy())
     owner = np.repeat(np.arange(len(two)), size)
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
-    of = [c.to_pylist() for c in classes_]
     for k in range(len(one)):
         x = sets[0][k].values.to_numpy()
         low, high = np.searchsorted(flat, x, "left"), np.searchsorted(flat, x, "right")
         n = high - low
         at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         common = np.bincount(owner[at], minlength=len(two))
-        for j in np.flatnonzero(common >= (THRESHOLD - 0.01) * (len(x) + size - common)):
-            if of[0][k] != of[1][j]:
-                a, b = sorted((ids[0][k].as_py(), ids[1][int(j)].as_py()))
-                yield a, b
+        for j in np.flatnonzero(common >= THRESHOLD * (len(x) + size - common) - 1e-9):
+            if classes_[0][k] != classes_[1][j]:
+                yield ids[0][k], classes_[1][j], ids[1][j]
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -311,7 +313,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         main = placed.groupBy("bucket", "c").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("kinds"))
         mixed = stored(placed.join(main.filter("kinds > 1").select("bucket", "main"), "bucket"), "mixed")
         if not mixed.isEmpty():
-            extra = _linked(_across(mixed, texts).join(pairs, ["a", "b"], "left_anti"), sigs, texts)
+            extra = _across(mixed, texts)
             if not extra.isEmpty():
                 found = stored(components(links.union(extra)), "components")
     return signed.select("doc", "id", F.col("sig").isNotNull().alias("worded")), found
@@ -337,6 +339,12 @@ def report(docs: DataFrame) -> DataFrame:
     )
 
 
+def _without(rows: DataFrame, listed: DataFrame) -> DataFrame:
+    """``rows`` whose (__doc, __id) isn't listed."""
+    listed = listed.select(F.col("__doc").alias("__d"), F.col("__id").alias("__i"), F.lit(True).alias("__in"))
+    return rows.join(listed, F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("__id") == F.col("__i")), "left").filter("__in is null").drop("__d", "__i", "__in")
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each class, and every row without words."""
     names = docs.columns
@@ -352,12 +360,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     again = rows.filter("c is not null").join(several, "c", "left_semi").groupBy("doc", "id").count().filter("count > 1")
     again = stored(again.select(F.col("doc").alias("__doc"), F.col("id").alias("__id")), "again")
     named = plain.withColumn("__doc", F.col(ident)).withColumn("__id", F.unhex(F.md5(F.col(text).cast("binary"))))
-    same = lambda other: named["__doc"].eqNullSafe(other["__doc"]) & named["__id"].eqNullSafe(other["__id"])
     named = _perhaps(named, gone.union(again), pair)
-    kept, some = named.filter("not __hit"), named.filter("__hit").join(gone, same(gone), "left_anti")
+    # Outer joins, not anti joins, which would be planned below the bitmap and move all texts.
+    kept, some = named.filter("not __hit"), _without(named.filter("__hit"), gone)
     if again.isEmpty():
         kept = kept.unionByName(some)
     else:
-        once = some.join(again, same(again), "left_semi").dropDuplicates(pair)
-        kept = kept.unionByName(some.join(again, same(again), "left_anti")).unionByName(once)
+        listed = again.withColumnsRenamed({"__doc": "__d", "__id": "__i"})
+        twice = some.join(listed, F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("__id") == F.col("__i"))).drop("__d", "__i")
+        kept = kept.unionByName(_without(some, again)).unionByName(twice.dropDuplicates(pair))
     return like(kept.select(*plain.columns).toDF(*names), docs)
