@@ -238,6 +238,19 @@ def test_near_dup_equals_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({w for w in want})
 
 
+def test_near_dup_with_repeated_lines(spark):
+    """A line repeated in one copy changes counts of shingles, not much of their set."""
+    rng = random.Random(14)
+    texts = []
+    for size, line, times in [(104, 16, 30)] * 12 + [(150, 20, 20)] * 6:
+        base = words(rng, size, 10**6)
+        texts += [" ".join(base), " ".join(base + words(rng, line, 10**6) * times)]
+    want = brute_classes(texts)
+    assert want == [k // 2 * 2 for k in range(len(texts))]
+    got = {r.doc_id: r.class_id for r in near_dup.report(docs(spark, texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == want
+
+
 def test_near_dup_odd(spark):
     d = odd(spark)
     out = near_dup.dedup(d)
