@@ -7,8 +7,16 @@ page, above and below the fraction line: mirrored copies are the business of
 near-duplicate removal and don't make their lines boilerplate.
 
 As a page has each line once, a host has at most (mean distinct lines of a
-page) / ``max_ratio`` boilerplate lines, however many pages it has; that bounds
-the list kept for each host.
+page) / ``max_ratio`` lines above the ratio, however many pages it has; that
+bounds the list kept for each host in ``report``.
+
+That is the measure of ``report``, whose SQL fixes both values. ``dedup_lines``
+also cuts lines far above their chance count, at every host size (``CHANCE``):
+if no word makes up more than ``COMMON`` of a text's words, a line of k words
+comes up by chance at most (lines of the host) x ``COMMON`` ^ k times, and a line
+on ten times as many pages, and ``min_pages`` at least, is no prose. On a host of
+three or four pages it must be on all of them; two pages tell nothing. As near
+copies share prose, pages with the same longest line count once here.
 
 Defined cases: lines end at ``\\n``; a line is compared without spaces at its
 ends; lines without a word are never dropped. A null host is a host. A null
@@ -18,6 +26,10 @@ empty. Repeated rows are pages with the same text.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +37,12 @@ from annotrail.llm.common import like, stored, text_key
 
 MAX_RATIO = 0.1
 MIN_PAGES = 5
+#: A line on this many times its chance count isn't there by chance.
+CHANCE = 10.0
+#: At least the share of the most frequent word among all words.
+COMMON = 0.1
+#: Words are counted in so many first characters of a line; more words make no difference.
+HEAD = 200
 
 
 def _lines(text: Column) -> Column:
@@ -37,21 +55,45 @@ def _name(line: Column) -> Column:
     return F.when(line.rlike(r"[^\x20\x09-\x0D]"), F.md5(line.cast("binary")))
 
 
-def boilerplate(
-    docs: DataFrame, host_col: str, text_col: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES
+def _words(line: Column) -> Column:
+    """Words in the line's first ``HEAD`` characters."""
+    return F.size(F.filter(F.split(F.substring(F.trim(line), 1, HEAD), r"[\x20\x09-\x0D]+"), lambda x: x != ""))
+
+
+def frequent(
+    docs: DataFrame, host_col: str, text_col: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, chance: float | None = None
 ) -> DataFrame:
-    """host, lines: the names of each host's boilerplate lines, for hosts that have any."""
+    """host, line: the name of each boilerplate line of a host; with ``chance``, also of those beyond it."""
     page = docs.select(F.col(host_col).alias("host"), F.col(text_col).alias("t")).filter("t is not null")
-    page = page.select(
-        "host", text_key(F.col("t")).alias("page"), F.array_distinct(F.transform(_lines(F.col("t")), _name)).alias("names")
-    )
+    lines = _lines(F.col("t"))
+    if chance is None:
+        each, lead = F.transform(lines, lambda x: F.struct(_name(x).alias("line"))), F.lit(0)
+    else:
+        each = F.transform(lines, lambda x: F.struct(_name(x).alias("line"), _words(x).alias("words")))
+        lead = F.xxhash64(F.trim(F.array_max(F.transform(lines, lambda x: F.struct(F.length(F.trim(x)), x.alias("x"))))["x"]))
+    page = page.select("host", text_key(F.col("t")).alias("page"), lead.alias("lead"), F.array_distinct(F.filter(each, lambda x: x["line"].isNotNull())).alias("lines"))
     # One row for each line of each page; equal pages meet before lines are counted.
-    seen = page.select("host", "page", F.explode(F.array_compact("names")).alias("line")).distinct()
-    count = seen.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
-    total = page.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    seen = page.select("host", "page", "lead", F.inline("lines")).distinct()
+    total = page.select("host", "page", "lead", F.size("lines").alias("size")).distinct().groupBy("host").agg(F.count("*").alias("pages"), F.sum("size").alias("size"))
+    if chance is None:
+        count = seen.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
+        beyond = F.lit(False)
+    else:
+        # First by lead, so that a line of a whole host isn't counted in one task.
+        count = seen.groupBy("host", "line", "words", "lead").agg(F.count("*").alias("n")).groupBy("host", "line", "words")
+        count = count.agg(F.sum("n").alias("n"), F.count("*").alias("leads")).filter(F.col("n") >= min(3, min_pages))
+        least = F.greatest(F.least(F.lit(min_pages), F.col("pages")), F.lit(3))
+        beyond = (F.col("leads") >= least) & (F.col("leads") >= chance * F.col("size") * F.pow(F.lit(COMMON), F.col("words")))
     count, total = count.alias("c"), total.alias("t")
-    often = count.join(total, F.col("c.host").eqNullSafe(F.col("t.host"))).filter(F.col("n") > F.col("pages") * F.lit(max_ratio))
-    return often.groupBy(F.col("c.host").alias("host")).agg(F.sort_array(F.collect_set("line")).alias("lines"))
+    often = count.join(total, F.col("c.host").eqNullSafe(F.col("t.host")))
+    often = often.filter((F.col("n") >= min_pages) & (F.col("n") > F.col("pages") * F.lit(max_ratio)) | beyond)
+    return often.select(F.col("c.host").alias("host"), "line")
+
+
+def boilerplate(docs: DataFrame, host_col: str, text_col: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+    """host, lines: the names of each host's boilerplate lines, for hosts that have any."""
+    often = frequent(docs, host_col, text_col, max_ratio, min_pages)
+    return often.groupBy("host").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 
 def _applied(docs: DataFrame, host: str, text: str, found: DataFrame) -> DataFrame:
@@ -70,19 +112,49 @@ def _applied(docs: DataFrame, host: str, text: str, found: DataFrame) -> DataFra
     )
 
 
+def _without(docs: DataFrame, host: str, text: str, found: DataFrame) -> DataFrame:
+    """``docs`` without the lines ``found``, whose number for a host has no bound: they are sent out as sets of names."""
+    named = found.select(F.col("host").cast("string").alias("h"), F.unhex("line").alias("line")).toArrow()
+    sets: dict[str | None, set[bytes]] = {}
+    for h, line in zip(*(c.to_pylist() for c in named.columns), strict=True):
+        sets.setdefault(h, set()).add(line)
+    sent = docs.sparkSession.sparkContext.broadcast(sets)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = sent.value
+        for whole in batches:
+            for k in range(0, whole.num_rows, 2048):
+                batch = whole.slice(k, 2048)
+                out = [_kept(t, sets.get(h)) for h, t in zip(batch.column(batch.num_columns - 1).to_pylist(), batch.column(at).to_pylist(), strict=True)]
+                columns = batch.columns[:-1]
+                columns[at] = pa.array(out, batch.schema.field(at).type)
+                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+
+    return docs.withColumn("__host", F.col(host).cast("string")).mapInArrow(run, docs.schema)
+
+
+def _kept(text: str | None, drops: set[bytes] | None) -> str | None:
+    if text is None or not drops:
+        return text
+    lines = text.split("\n")
+    return "\n".join(x for x in lines if not x.strip(" \t\n\x0b\x0c\r") or hashlib.md5(x.strip(" ").encode()).digest() not in drops)
+
+
 def dedup_lines(
     docs: DataFrame,
     host_col: str = "source",
     text_col: str = "text",
     max_ratio: float = MAX_RATIO,
     min_pages: int = MIN_PAGES,
+    chance: float | None = CHANCE,
 ) -> DataFrame:
     """``docs`` with the boilerplate lines of each row's host cut from its text; every row stays."""
     names = docs.columns
     plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
     host, text = (f"c{names.index(c)}" for c in (host_col, text_col))
-    found = stored(boilerplate(plain, host, text, max_ratio, min_pages), "boilerplate")
-    out = _applied(plain, host, text, found).withColumn(text, F.col("__text"))
+    found = stored(frequent(plain, host, text, max_ratio, min_pages, chance), "boilerplate")
+    out = _without(plain, host, text, found)
     return like(out.select(*plain.columns).toDF(*names), docs)
 
 

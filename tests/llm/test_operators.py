@@ -174,6 +174,25 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(d).columns == d.columns and line_dedup.dedup_lines(d).count() == d.count()
 
 
+def test_line_dedup_far_above_chance(spark):
+    """Boilerplate on 2%, 5% and 9% of a large host's pages and on all of a small host's goes; prose and near copies stay."""
+    rng = random.Random(15)
+    menus = {50: "Subscribe to our weekly letter", 20: "Share this page with a friend", 11: "All rights of this site reserved"}
+    texts, sources = [], []
+    for k in range(600):
+        extra = [line for every, line in menus.items() if k % every == 0] + ["Yes."] * (k % 30 == 0)
+        texts.append("\n".join([*extra, " ".join(words(rng, 12, 10**6)), " ".join(words(rng, 40, 10**6))]))
+        sources.append("large")
+    shared = [" ".join(words(rng, n, 10**6)) for n in (10, 60)]
+    texts += ["\n".join([*shared, " ".join(words(rng, 8, 10**6))]) for _ in range(12)]  # near copies
+    sources += ["large"] * 12
+    texts += [f"Imprint of the small site\n{' '.join(words(rng, 12, 10**6))}" for _ in range(3)]
+    sources += ["small"] * 3
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(spark, texts, sources)).collect()}
+    cut = {*menus.values(), "Imprint of the small site"}
+    assert [got[k] for k in range(len(texts))] == ["\n".join(x for x in t.split("\n") if x not in cut) for t in texts]
+
+
 # ---- op6 ------------------------------------------------------------------
 
 PAGES = "page_id bigint, url string, html string"
