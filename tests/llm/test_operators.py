@@ -435,7 +435,24 @@ def test_language_id(spark):
     assert language_id.report(d.filter("false"), p).filter("lang is not null").isEmpty()
 
 
+def test_language_id_models_every_language(spark):
+    """70 languages: those with the fewest labels are told apart too, and count as declared."""
+    rng = random.Random(16)
+    langs = [chr(97 + k // 26) + chr(97 + k % 26) for k in range(70)]
+    sound = {x: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(6)] for x in langs}
+    text = lambda x: " ".join(rng.choice(sound[x]) for _ in range(40))
+    of = [x for k, x in enumerate(langs) for _ in range(8 if k < 60 else 5)]
+    d = docs(spark, [text(x) for x in of], [f"s{x}" for x in of]).drop("lang")
+    d = d.join(spark.createDataFrame(list(enumerate(of)), "doc_id bigint, lang string"), "doc_id")
+    p = spark.createDataFrame([(0, "http://x.example.com/", f'<html lang="{langs[-1]}"></html>')], "page_id bigint, url string, html string")
+    rows = language_id.report(d, p).collect()
+    got = {r.doc_id: r for r in rows if r.doc_id is not None}
+    assert all(got[k].lang == x and got[k].text_lang == x for k, x in enumerate(of))
+    assert [r.lang for r in rows if r.page_id == 0] == [langs[-1]]
+
+
 def test_address_and_markup():
+    assert language_id.address("http://a.ru/", set())[2] == "ru" and language_id.address("http://a.ch/", set())[2] is None
     assert language_id.address("https://u@M.Site.co.DE:80/x/FR/1?q=/en/", {"fr", "en"}) == ("m.site.co.de", "co.de", "fr")
     assert language_id.address("http://a.es", {"fr"})[2] == "es" and language_id.address("nonsense", set()) == (None, None, None)
     assert language_id.declared('<HTML class="x" LANG=\'De\'>') == "de" and language_id.declared(None) is None
