@@ -109,8 +109,9 @@ def descend(a: list[DataFrame], b: list[DataFrame]) -> DataFrame | None:
 def audit(first: DataFrame, second: DataFrame) -> DataFrame:
     """Records of two manifests: page_id, file, offset, length, digest, copies, status.
 
-    Status is intact, or for records in differing ranges altered (another digest
-    in the second replica), missing (no record of that id there) or extra (only there).
+    Status is intact, or for records in differing ranges altered (another digest or
+    number of copies in the second replica), missing (no record for it there) or extra
+    (only there, and no record's altered form).
     """
     first, second = stored(first, "replica"), stored(second, "replica")
     ends = first.union(second).agg(F.min("page_id").alias("least"), F.max("page_id").alias("most")).first()
@@ -124,11 +125,18 @@ def audit(first: DataFrame, second: DataFrame) -> DataFrame:
     within = F.floor(F.col("number") / FANOUT).cast("long") == F.col("node")
     other = b.join(bad, within, "left_semi")
     same = other.select(F.col("number").alias("n"), F.col("digest").alias("d"), F.col("copies").alias("k"))
-    there = other.select("number").distinct().withColumn("there", F.lit(True))
-    judged = whole.join(bad, within, "left").join(same, (F.col("number") == F.col("n")) & (F.col("digest") == F.col("d")) & (F.col("copies") == F.col("k")), "left")
-    judged = judged.join(there, "number", "left")
-    status = F.when(F.col("node").isNull() | F.col("n").isNotNull(), "intact").when(F.col("there"), "altered").otherwise("missing")
-    extra = other.join(a.select("number").distinct(), "number", "left_anti").withColumn("offset", F.lit(None).cast("long"))
+    judged = whole.join(bad, within, "left").join(same, (F.col("number") == F.col("n")) & (F.col("digest") == F.col("d")), "left")
+    # Records of a number that only one replica has are paired by the order of their digests: pairs are altered, the rest is missing or extra.
+    key, order = ["number", "digest"], F.row_number().over(W.partitionBy("number").orderBy("digest"))
+    mine = a.join(bad, within, "left_semi")
+    gone = mine.join(other.select(*key), key, "left_anti").withColumn("rank", order)
+    new = other.join(mine.select(*key), key, "left_anti").withColumn("rank", order)
+    n_gone, n_new = (x.groupBy("number").agg(F.count("*").alias("others")) for x in (gone, new))
+    rest = F.col("rank") > F.coalesce("others", F.lit(0))
+    lost = gone.join(n_new, "number", "left").filter(rest).select(*key, F.lit(True).alias("lost"))
+    extra = new.join(n_gone, "number", "left").filter(rest).withColumn("offset", F.lit(None).cast("long"))
+    judged = judged.join(lost, key, "left")
+    status = F.when(F.col("node").isNull() | (F.col("copies") == F.col("k")), "intact").when(F.col("lost"), "missing").otherwise("altered")
     return judged.select(*columns, status.alias("status")).unionByName(extra.select(*columns, F.lit("extra").alias("status")))
 
 

@@ -215,6 +215,17 @@ def test_warc_round_trip_and_audit(spark):
     assert warc_audit.audit(none, none).count() == 0
 
 
+def test_audit_of_repeated_and_null_ids(spark):
+    rows = [(1, "u", "a"), (1, "u", "b"), (2, "u", "c"), (2, "u", "d"), (3, "u", "e"), (None, "u", "f"), (None, "u", "g"), (4, "u", "h")]
+    change = {(1, "u", "a"): [], (2, "u", "c"): [(2, "u", "C")], (3, "u", "e"): [(3, "u", "e"), (3, "u", "E")], (None, "u", "f"): [(None, "u", "f"), (None, "v", "F")]}
+    replica = [y for x in rows for y in change.get(x, [x])]
+    first, second = (warc_audit.manifest(spark.createDataFrame(x, PAGES)) for x in (rows, replica))
+    found = sorted((str(r.page_id), r.status) for r in warc_audit.audit(first, second).collect() if r.status != "intact")
+    assert found == [("1", "missing"), ("2", "altered"), ("3", "extra"), ("None", "extra")]
+    found = sorted((str(r.page_id), r.status) for r in warc_audit.audit(second, first).collect() if r.status != "intact")
+    assert found == [("1", "extra"), ("2", "altered"), ("3", "missing"), ("None", "missing")]
+
+
 # ---- op7 ------------------------------------------------------------------
 
 def shingles(text):
