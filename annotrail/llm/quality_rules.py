@@ -5,7 +5,9 @@ repetitive nor incompressible. The ratio (bytes over compressed bytes) is
 taken over the whole text and over fixed chunks of ``CHUNK`` bytes; the limits
 depend on the length, as short texts compress less and carry the frame's own
 bytes. A text is rejected if its whole ratio leaves the band of its length, or
-if over half of its full chunks leave the band of a chunk.
+if chunks that leave the band of a chunk hold over half of its bytes. What is
+left at the end is judged by the text's last ``CHUNK`` bytes and counts for its
+own bytes only; a text shorter than a chunk has the band of its length alone.
 
 Defined cases: a null or wordless text has zero counts and fails the base
 rule. Chunks cut through code points, as compression sees bytes only. Repeated
@@ -80,19 +82,19 @@ def _continuations(raw: bytes) -> int:
 
 
 def band_verdict(raw: bytes, press: zstandard.ZstdCompressor) -> tuple[float, float, bool]:
-    """The whole ratio, the share of chunks outside their band, and the verdict."""
+    """The whole ratio, the share of bytes in chunks outside their band, and the verdict."""
     n = len(raw)
     if not n:
         return 0.0, 0.0, False
     ratio = n / len(press.compress(raw))
     low, high = next((lo, hi) for below, lo, hi in BANDS if n < below)
-    bad = full = 0
+    bad = 0
     if n >= CHUNK:
-        for at in range(0, n - CHUNK + 1, CHUNK):
-            r = CHUNK / len(press.compress(raw[at : at + CHUNK]))
-            bad += not CHUNK_BAND[0] <= r <= CHUNK_BAND[1]
-            full += 1
-    share = bad / full if full else 0.0
+        for at in range(0, n, CHUNK):
+            own = min(CHUNK, n - at)
+            r = CHUNK / len(press.compress(raw[at + own - CHUNK : at + own]))
+            bad += own * (not CHUNK_BAND[0] <= r <= CHUNK_BAND[1])
+    share = bad / n
     return ratio, share, low <= ratio <= high and share <= 0.5
 
 

@@ -121,6 +121,15 @@ def test_quality_bands():
     assert quality_rules.band_verdict(mixed, press)[1] == 0
 
 
+def test_quality_bands_judge_the_last_part():
+    press = zstandard.ZstdCompressor(level=3)
+    rng = random.Random(2)
+    dense = bytes(rng.randrange(48, 112) for _ in range(4096))
+    # Repetitive chunks, the last not full, in a text whose whole ratio is in its band.
+    ratio, share, good = quality_rules.band_verdict(dense + b"a" * 6000, press)
+    assert 1.3 <= ratio <= 3.8 and share == 6000 / 10096 and not good
+
+
 # ---- op4 ------------------------------------------------------------------
 
 def test_mixing_targets_and_sizes(spark):
