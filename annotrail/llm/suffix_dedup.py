@@ -1,4 +1,4 @@
-"""Exact removal of repeated substrings by distributed prefix doubling on sampled suffixes.
+"""Exact removal of repeated substrings by counts of fingerprints at anchors, in place of prefix doubling.
 
 A byte goes if a string of ``LENGTH`` bytes that covers it also starts anywhere
 else, in the same text or another. Ranking the suffixes at every byte would
