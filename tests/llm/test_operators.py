@@ -406,6 +406,26 @@ def test_toxicity_learns_from_training_rows_only(spark):
     assert toxicity.drop_toxic(o, lab.filter("false")).count() == o.count()
 
 
+def test_toxicity_of_texts_that_name_groups(spark):
+    """train() and report() on labelled texts: a group term that is frequent in toxic texts weighs less with the penalty."""
+    rng = random.Random(17)
+    texts, labels = [], []
+    for k in range(600):
+        bad = rng.random() < 0.3
+        extra = ["wretched"] * (rng.random() < (0.7 if bad else 0.02)) + ["muslim"] * (rng.random() < (0.6 if bad else 0.05))
+        texts.append(" ".join(words(rng, 20, 50) + extra))
+        labels.append((k, 1, int(bad)))
+    d, lab = docs(spark, texts), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    probe = docs(spark, texts + ["muslim", "jewish"])
+    gaps = []
+    for penalty in (0.0, 8.0):
+        score = toxicity.train(d, lab, swap_penalty=penalty).scorer()
+        gaps.append(abs(score("muslim") - score("jewish")))
+    assert gaps[1] < 0.5 * gaps[0]
+    got = {r.doc_id: r.score for r in toxicity.report(probe, lab).collect()}
+    assert len(got) == 602 and abs(got[600] - got[601]) < 0.2
+
+
 # ---- op1 and op10 -----------------------------------------------------------
 
 def test_quality_classifier(spark):
