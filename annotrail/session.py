@@ -10,9 +10,15 @@ from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 
+#: Bytes of an Arrow batch on its way to a Python worker, unless the session names another number: rows are whole texts.
+BATCH_BYTES = 4 << 20
+_BATCH_CONF, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the session's executors, once for each application."""
+    """Send this package to the session's executors, once for each application, and bound Arrow batches in bytes."""
+    if spark.conf.get(_BATCH_CONF) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         root = Path(__file__).resolve().parent
