@@ -75,7 +75,7 @@ class Shingler:
         if not words:
             return np.zeros(0, np.uint64)
         known = self.known
-        if len(known) > 1_000_000:
+        if len(known) > 1 << 16:
             known.clear()
         for w in set(words):
             if w not in known:
@@ -129,7 +129,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             part.append(row)
             size += len(row[1] or "")
-            if len(part) >= 1024 or size >= 4_000_000:
+            if len(part) >= 1024 or size >= 1_000_000:
                 yield part
                 part, size = [], 0
         if part:

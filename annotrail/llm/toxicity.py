@@ -93,7 +93,7 @@ class Model:
                 f = known.get(w)
                 if f is None:
                     f = tuple(x for x in features(w) if x in weights)
-                    if len(known) >= 500_000:
+                    if len(known) >= 1 << 16:
                         known.clear()
                     known[w] = f
                 if f:
