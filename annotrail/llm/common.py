@@ -96,6 +96,31 @@ def by_row(
     return src.mapInArrow(run, schema)
 
 
+#: Bits of the largest filter that is sent out to find wanted rows: 32 MB.
+MAX_BITS = 1 << 28
+
+
+def perhaps(rows: DataFrame, wanted: DataFrame, key: list[str]) -> DataFrame:
+    """``rows`` with __hit: false where the key surely isn't among those of ``wanted``.
+
+    A bitmap of hashed keys, of ``MAX_BITS`` at most, goes to all executors; so rows that a join wouldn't touch need not move for it.
+    """
+    bits = 1 << 16
+    while bits < min(MAX_BITS, 8 * wanted.count()):
+        bits *= 2
+    place = F.pmod(F.xxhash64(*key), F.lit(bits))
+    part, bit = F.floor(place / 32768).cast("int"), (place % 32768).cast("int")
+    maps = wanted.select(part.alias("__part"), bit.cast("long").alias("__bit")).groupBy("__part").agg(F.bitmap_construct_agg("__bit").alias("__map"))
+    # The map as an array of bytes, which a row finds its own in without a conversion.
+    byte = lambda k: F.conv(F.hex(F.substring(F.col("__map"), k + 1, F.lit(1))), 16, 10).cast("int")
+    signed = lambda x: F.when(x > 127, x - 256).otherwise(x).cast("tinyint")
+    maps = maps.select("__part", F.transform(F.sequence(F.lit(0), F.lit(4095)), lambda k: signed(byte(k))).alias("__map"))
+    rows = rows.withColumn("__part", part).withColumn("__bit", bit).join(F.broadcast(maps), "__part", "left")
+    byte = F.expr("__map[cast(shiftright(__bit, 3) as int)]").cast("int")
+    hit = byte.bitwiseAND(F.expr("shiftleft(1, __bit & 7)")) != 0
+    return rows.withColumn("__hit", F.coalesce(hit, F.lit(False))).drop("__part", "__bit", "__map")
+
+
 def text_key(text: Column) -> Column:
     """A 128-bit name of a text, for grouping exact copies."""
     return F.md5(text.cast("binary"))

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annotrail.llm.common import by_row, like, stored
+from annotrail.llm.common import by_row, like, perhaps, stored
 from annotrail.llm.components import components
 
 SHINGLE = 5
@@ -50,8 +50,6 @@ MIN_AGREE = 0.62
 SMALL = 12
 LEADERS = 6
 BLOCK = 32
-#: Bits of the largest filter that is sent out to find wanted texts: 32 MB.
-MAX_BITS = 1 << 28
 
 _U = np.uint64
 
@@ -187,26 +185,9 @@ def _linked(pairs: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
     return stored(by_row(both, ["a", "b", "ta", "tb"], "a binary, b binary", make), "links")
 
 
-def _perhaps(rows: DataFrame, wanted: DataFrame, key: list[str]) -> DataFrame:
-    """``rows`` with __hit: false where the key surely isn't among those of ``wanted``.
-
-    A bitmap of hashed keys, of ``MAX_BITS`` at most, goes to all executors; so rows that a join wouldn't touch need not move for it.
-    """
-    bits = 1 << 16
-    while bits < min(MAX_BITS, 16 * wanted.count()):
-        bits *= 2
-    place = F.pmod(F.xxhash64(*key), F.lit(bits))
-    part, bit = F.floor(place / 32768).cast("int"), (place % 32768).cast("int")
-    maps = wanted.select(part.alias("__part"), bit.cast("long").alias("__bit")).groupBy("__part").agg(F.bitmap_construct_agg("__bit").alias("__map"))
-    byte = F.conv(F.hex(F.expr("substring(__map, cast(__bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    hit = byte.bitwiseAND(F.expr("shiftleft(1, cast(__bit % 8 as int))")) != 0
-    rows = rows.withColumn("__part", part).withColumn("__bit", bit).join(F.broadcast(maps), "__part", "left")
-    return rows.withColumn("__hit", F.coalesce(hit, F.lit(False))).drop("__part", "__bit", "__map")
-
-
 def _among(texts: DataFrame, ids: DataFrame) -> DataFrame:
     """One row (id, t) for each of ``ids``; only about the texts wanted move."""
-    near = _perhaps(texts, ids, ["id"]).filter("__hit").select("id", "t")
+    near = perhaps(texts, ids, ["id"]).filter("__hit").select("id", "t")
     # An inner join: a semi join would be planned below the bitmap and move all texts.
     return near.join(ids, "id").groupBy("id").agg(F.first("t").alias("t"))
 
@@ -362,7 +343,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     again = rows.filter("c is not null").join(several, "c", "left_semi").groupBy("doc", "id").count().filter("count > 1")
     again = stored(again.select(F.col("doc").alias("__doc"), F.col("id").alias("__id")), "again")
     named = plain.withColumn("__doc", F.col(ident)).withColumn("__id", F.unhex(F.md5(F.col(text).cast("binary"))))
-    named = _perhaps(named, gone.union(again), pair)
+    named = perhaps(named, gone.union(again), pair)
     # Outer joins, not anti joins, which would be planned below the bitmap and move all texts.
     kept, some = named.filter("not __hit"), _without(named.filter("__hit"), gone)
     if again.isEmpty():
