@@ -5,10 +5,13 @@ and five letters, hashed; presence counts, not frequency. The model is a
 logistic regression over the features whose document frequencies differ
 significantly between the labels. Beside the usual penalty on large weights it
 has one on score changes: each labelled text that names a group is repeated
-with the group terms swapped for others of their kind, and the squared change
-of the score, times ``SWAP_PENALTY``, is added to the loss. A group name that
-happens to be frequent in toxic texts so gets no weight of its own, and
-neutral mentions aren't flagged.
+with the group terms swapped for others of their kind and with them taken out, a
+text that names none with a term put in (drawn by a hash of the text) and with
+the next of its kind instead. The squared change of the score, times
+``SWAP_PENALTY``, is added to the loss. A group name that happens to be frequent
+in toxic texts, or that shares the beginning of a word that is, so gets no weight
+of its own, and neutral mentions aren't flagged. The terms are a parameter.
+``Model`` has the number of pairs and their mean score change.
 
 The model is fitted on about ``MAX_LABELLED`` labelled rows, drawn by a hash of
 their id, and has ``MAX_FEATURES`` features at most; both bound the driver's
@@ -23,6 +26,7 @@ or 0 without any.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -54,8 +58,21 @@ GROUPS = (
     ("immigrants", "refugees", "citizens", "natives"),
     ("deaf", "blind", "disabled", "autistic"),
     ("elderly", "young", "old", "teenage"),
+    ("frauen", "männer"),
+    ("frau", "mann"),
+    ("juden", "muslime", "christen"),
+    ("femmes", "hommes"),
+    ("femme", "homme"),
+    ("juifs", "musulmans", "chrétiens"),
+    ("mujeres", "hombres"),
+    ("mujer", "hombre"),
+    ("judíos", "musulmanes", "cristianos"),
 )
-SWAP = {term: kind[(k + 1) % len(kind)] for kind in GROUPS for k, term in enumerate(kind)}
+
+
+def swaps(groups: Sequence[Sequence[str]] = GROUPS) -> dict[str, str]:
+    """Each lower-cased term with the next of its kind."""
+    return {term.lower(): kind[(k + 1) % len(kind)].lower() for kind in groups for k, term in enumerate(kind)}
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -70,17 +87,25 @@ def features(word: str) -> list[int]:
     return [crc32(p.encode()) >> 1 for p in parts]
 
 
-def swapped(found: set[str]) -> list[set[str]]:
-    """The words with each group term replaced by the next of its kind, and by an unknown one, which has no weight; none without terms."""
-    if found.isdisjoint(SWAP):
+def swapped(found: set[str], swap: dict[str, str]) -> list[tuple[set[str], set[str]]]:
+    """Pairs of word sets whose scores should be equal: with each group term replaced by the next of its kind, and without; for a text without terms, with one put in, and with the next of its kind."""
+    if not swap:
         return []
-    return [{SWAP.get(w, w) for w in found}, found - SWAP.keys()]
+    if found.isdisjoint(swap):
+        terms = sorted(swap)
+        term = terms[crc32(" ".join(sorted(found)).encode()) % len(terms)]
+        return [(found, found | {term}), (found | {term}, found | {swap[term]})]
+    return [(found, {swap.get(w, w) for w in found}), (found, found - swap.keys())]
 
 
 @dataclass(frozen=True)
 class Model:
+    """Weights and intercept; the pairs that the penalty acted on, and the mean change of the score between their sides."""
+
     weights: dict[int, float]
     intercept: float
+    n_pairs: int = 0
+    gap: float = 0.0
 
     def scorer(self):
         """A function of a text; it remembers the words that have weights."""
@@ -105,15 +130,20 @@ class Model:
 
 
 def fit(samples: list[tuple[float, list[int], list[list[int]]]], n_features: int, swap_penalty: float = SWAP_PENALTY):
-    """Weights and intercept from (label, features, features after each swap).
+    """Weights and intercept from (label, features, features after each swap)."""
+    pairs = [(sorted(set(s[1]) - set(g)), sorted(set(g) - set(s[1]))) for s in samples for g in s[2]]
+    return fit_pairs([s[:2] for s in samples], pairs, n_features, swap_penalty)
+
+
+def fit_pairs(samples: list[tuple[float, list[int]]], pairs: list[tuple[list[int], list[int]]], n_features: int, swap_penalty: float = SWAP_PENALTY):
+    """Weights and intercept from (label, features) and, for each pair, the features that only one and only the other side has.
 
     Nesterov's accelerated descent on the mean logistic loss + ridge + swap penalty.
     """
     y = np.array([s[0] for s in samples])
     row = np.repeat(np.arange(len(samples)), [len(s[1]) for s in samples])
     col = np.fromiter((x for s in samples for x in s[1]), np.int64)
-    pairs = [(set(s[1]), set(g)) for s in samples for g in s[2]]
-    change = [(k, x, sign) for k, (a, b) in enumerate(pairs) for x, sign in [*((x, 1.0) for x in sorted(b - a)), *((x, -1.0) for x in sorted(a - b))]]
+    change = [(k, x, sign) for k, (gone, come) in enumerate(pairs) for x, sign in [*((x, 1.0) for x in come), *((x, -1.0) for x in gone)]]
     c_row = np.array([c[0] for c in change], np.int64)
     c_col = np.array([c[1] for c in change], np.int64)
     c_sign = np.array([c[2] for c in change])
@@ -153,7 +183,13 @@ def fit(samples: list[tuple[float, list[int], list[list[int]]]], n_features: int
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", swap_penalty: float = SWAP_PENALTY
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "toxic",
+    swap_penalty: float = SWAP_PENALTY,
+    groups: Sequence[Sequence[str]] = GROUPS,
 ) -> Model:
     """The model of the labelled rows whose crc32(id as text) mod 5 is not 0."""
     ident = F.col(id_col).cast("string")
@@ -165,15 +201,23 @@ def train(
     known = known.groupBy("i").agg((F.avg("y") >= 0.5).cast("double").alias("y"))
     rows = docs.select(ident.alias("i"), F.col(text_col).alias("t")).join(F.broadcast(stored(known, "toxicity-labels")), "i")
 
+    swap = swaps(groups)
+
     def make():
         def one(y, text):
             found = words(text)
-            pick = lambda ws: sorted({f for w in ws for f in features(w)})
-            yield y, pick(found), [pick(g) for g in swapped(found)]
+            own = {f for w in found for f in features(w)}
+            pick = lambda ws: own | {f for w in ws - found for f in features(w)} if ws >= found else {f for w in ws for f in features(w)}
+            # Of each pair only the features that one side has and the other hasn't, and each side's score without them.
+            pairs = []
+            for a, b in swapped(found, swap):
+                a, b = pick(a), pick(b)
+                pairs.append([sorted(a - b), sorted(b - a), sorted(a - own), sorted(own - a)])
+            yield y, sorted(own), pairs
 
         return one
 
-    rows = stored(by_row(rows, ["y", "t"], "y double, f array<bigint>, g array<array<bigint>>", make), "toxicity-rows")
+    rows = stored(by_row(rows, ["y", "t"], "y double, f array<bigint>, g array<array<array<bigint>>>", make), "toxicity-rows")
     total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0.0)).alias("pos")).first()
     pos, neg = total["pos"], total["n"] - total["pos"]
     if not pos or not neg:
@@ -192,15 +236,20 @@ def train(
 
     def slim():
         def one(y, f, g):
-            yield y, [at[x] for x in f if x in here], [[at[x] for x in h if x in here] for h in g]
+            yield y, [at[x] for x in f if x in here], [[[at[x] for x in h if x in here] for h in pair] for pair in g]
 
         return one
 
-    slimmed = by_row(rows, ["y", "f", "g"], "y double, f array<bigint>, g array<array<bigint>>", slim)
-    samples = [(r.y, list(r.f), [list(h) for h in r.g]) for r in slimmed.collect()]
-    samples.sort(key=lambda s: (s[0], s[1]))
-    w, b = fit(samples, len(chosen), swap_penalty)
-    return Model({f: float(w[k]) for f, k in at.items() if w[k]}, float(b))
+    slimmed = by_row(rows, ["y", "f", "g"], "y double, f array<bigint>, g array<array<array<bigint>>>", slim)
+    samples = sorted((r.y, list(r.f), [[list(h) for h in pair] for pair in r.g]) for r in slimmed.collect())
+    sides = [(set(f) - set(drop) | set(add), gone, come) for _, f, g in samples for gone, come, add, drop in g]
+    w, b = fit_pairs([(y, f) for y, f, _ in samples], [(gone, come) for _, gone, come in sides], len(chosen), swap_penalty)
+
+    def score(x):
+        return 1 / (1 + np.exp(-np.clip(b + w[sorted(x)].sum(), -500, 500)))
+
+    gap = float(np.mean([abs(score(x) - score(x - set(gone) | set(come))) for x, gone, come in sides])) if sides else 0.0
+    return Model({f: float(w[k]) for f, k in at.items() if w[k]}, float(b), len(sides), gap)
 
 
 def _scored(docs: DataFrame, columns: list[str], text_col: str, model: Model) -> DataFrame:
