@@ -73,6 +73,51 @@ def test_suffix_dedup_equals_brute_force(spark):
     assert [got[k] for k in range(len(texts))] == brute_repeats(texts, 400)
 
 
+def brute_passages(texts, n):
+    """Whether a text has a window of n words that another text has too."""
+    split = [re.findall(WORD, t or "") for t in texts]
+    has = collections.defaultdict(set)
+    for k, ws in enumerate(split):
+        for i in range(len(ws) - n + 1):
+            has[tuple(ws[i : i + n])].add(k)
+    return [int(any(len(has[tuple(ws[i : i + n])]) > 1 for i in range(len(ws) - n + 1))) for ws in split]
+
+
+def test_suffix_dedup_passages(spark):
+    """Passages of 51 words and more are seen, whatever their bytes and blanks; those of 50 and repeats within a text aren't."""
+    rng = random.Random(21)
+    short = [[x[:3] for x in words(rng, 51, 10**6)] for _ in range(3)]
+    own = lambda n: words(rng, n, 10**6)
+    texts = [" ".join(own(30) + p + own(25)) for p in short for _ in range(2)]
+    texts += ["\n".join(short[0]) + "\t" + " ".join(own(5)), " ".join(short[1][:50] + own(40)), " ".join(short[2] + own(3) + short[2])]
+    twice = own(60)
+    texts += [" ".join(twice + own(9) + twice), "the " * 80, "the " * 51 + "end", None, "", " ".join(own(70))]
+    long = own(400)
+    texts += [" ".join(long[a : a + n] + own(20) + long[b : b + m]) for a, n, b, m in ((0, 200, 250, 51), (100, 180, 0, 90), (150, 51, 349, 51), (149, 51, 300, 100))]
+    texts += [texts[-1], "a " * 50]
+    got = {r.doc_id: r.passage for r in suffix_dedup.report(docs(spark, texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == brute_passages(texts, 51)
+    assert got[0] == 1 and got[7] == 0 and got[9] == 0 and spark.sql("SHOW TABLES").filter("tableName like 'annotrail%'").isEmpty()
+
+
+def test_suffix_dedup_pieces(monkeypatch):
+    """Windows of words are the same however a text is cut into pieces."""
+    raw = (" ".join(words(random.Random(4), 2000)) + " " + "x" * 3000 + " " + " ".join(words(random.Random(5), 300))).encode()
+    rounds = suffix_dedup.Rounds()
+
+    def windows():
+        out = []
+        for p, base in suffix_dedup.worded(raw, rounds.powers):
+            _, a, low, high = rounds._grams(p)
+            for x, lo, hi in zip(a, low, high):
+                out += [(int(x + base), int(w + base)) for w in range(lo, hi + 1)]
+        return out
+
+    whole = windows()
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 700)
+    assert windows() == whole and len(whole) == 2301 - 50
+
+
 def test_suffix_dedup_segments(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SEGMENT", 700)
     raw = " ".join(words(random.Random(3), 3000)).encode()
@@ -116,9 +161,47 @@ def test_quality_bands():
     assert not quality_rules.band_verdict(b"spam and eggs " * 900, press)[2]
     assert not quality_rules.band_verdict(bytes(rng.randrange(256) for _ in range(9000)), press)[2]
     assert not quality_rules.band_verdict(b"", press)[2]
-    # Repetitive chunks in a text whose whole ratio is in its band.
-    mixed = prose[:9000] + b"".join(bytes([97 + k % 26]) * 4096 for k in range(0))
-    assert quality_rules.band_verdict(mixed, press)[1] == 0
+    # Repetitive chunks among dense ones: over half of the bytes, and under half.
+    dense = bytes(rng.randrange(48, 112) for _ in range(5 * 4096))
+    runs = b"".join(bytes([97 + k]) * 4096 for k in range(5))
+    assert quality_rules.band_verdict(dense[: 4 * 4096] + runs, press)[1:] == (5 / 9, False)
+    assert quality_rules.band_verdict(dense + runs[: 2 * 4096], press)[1:] == (2 / 7, True)
+
+
+def test_quality_limits_by_length(spark):
+    """The verdict equals a brute-force version; junk that the fixed limits pass leaves the corpus' own bands."""
+    rng = random.Random(23)
+    syllables = [a + b for a in "bdfgklmnprst" for b in "aeiou"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randrange(1, 4)))
+    texts = [" ".join(word() for _ in range(rng.randrange(150, 190))) for _ in range(400)] + [" ".join(word() for _ in range(1900)) for _ in range(20)]
+    junk = [" ".join(word() + "%%%" * (k % 2) for k in range(150)) for _ in range(20)]
+    texts += junk + [None, "", "short text " * 3, " ".join(word() for _ in range(900)) + "a" * 9000]
+    got = {r.doc_id: r for r in quality_rules.judged(docs(spark, texts)).collect()}
+
+    press = zstandard.ZstdCompressor(level=3)
+    size = lambda t: len((t or "").encode())
+    ratio = {k: size(t) / len(press.compress(t.encode())) if t else 0.0 for k, t in enumerate(texts)}
+    passed = [k for k in ratio if not got[k].base_failed]
+    groups = collections.defaultdict(list)
+    for k in passed:
+        groups[int(4 * np.log2(size(texts[k]) + 1))].append(int(np.floor(ratio[k] * 512 + 0.5)))
+
+    def own(values, outer):
+        if len(values) < 100:
+            return outer
+        low, mid, high = (sorted(values)[int(np.ceil(q * len(values))) - 1] / 512 for q in (0.25, 0.5, 0.75))
+        reach = 4 * max(high - low, 1 / 512) / 1.349 + 1 / 512
+        return max(outer[0], mid - reach), min(outer[1], mid + reach)
+
+    parts = {k: quality_rules.ratios((texts[k] or "").encode(), press)[1] for k in ratio}
+    chunk = own([int(np.floor(r * 512 + 0.5)) for k in passed for r in parts[k]], (1.2, 3.5))
+    for k, t in enumerate(texts):
+        low, high = own(groups[int(4 * np.log2(size(t) + 1))], quality_rules.fixed_band(size(t)))
+        bad = sum(min(4096, size(t) - 4096 * i) for i, r in enumerate(parts[k]) if not chunk[0] <= r <= chunk[1])
+        assert got[k].kept == (not got[k].base_failed and low <= ratio[k] <= high and bad <= 0.5 * size(t)), k
+    first = len(texts) - 4 - len(junk)
+    assert sum(got[k].kept for k in range(400)) >= 380 and not any(got[first + k].kept for k in range(len(junk)))
+    assert quality_rules.judged(docs(spark, ["x"]).filter("false")).count() == 0
 
 
 def test_quality_bands_judge_the_last_part():
@@ -235,6 +318,26 @@ def test_audit_of_repeated_and_null_ids(spark):
     assert found == [("1", "extra"), ("2", "altered"), ("3", "missing"), ("None", "missing")]
 
 
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_audit_of_any_ids(spark, kind):
+    """Ids over the whole range of longs and ids that are no numbers; many null ids; columns of other names beside them."""
+    rng = random.Random(29)
+    ids = sorted({rng.randrange(-(1 << 63), 1 << 63) for _ in range(300)} | {-(1 << 63), (1 << 63) - 1})
+    ids = ids if kind == "bigint" else [f"page-{x % 997}-{x}" for x in ids]
+    rows = [(x, f"http://h/{k}", f"<p>{k}" + "x" * (100_000 if k == 5 else 0)) for k, x in enumerate(ids)] + [(None, None, f"null {k}") for k in range(200)]
+    replica = [r for k, r in enumerate(rows) if k not in (7, 310)]
+    replica[20] = (replica[20][0], replica[20][1], "changed")
+    replica.append((ids[50], "http://new", "added"))
+    replica.append((None, None, "null added"))
+    frames = [warc_audit.manifest(spark.createDataFrame([(*r, 1, "v") for r in x], f"page_id {kind}, url string, html string, node int, number string")) for x in (rows, replica)]
+    got = warc_audit.audit(*frames).collect()
+    found = collections.Counter((r.page_id, r.status) for r in got if r.status != "intact")
+    lost, changed = ids[7], replica[20][0]
+    # A null id has no identity: one record lost and one added are one altered.
+    assert found == {(lost, "missing"): 1, (changed, "altered"): 1, (ids[50], "extra"): 1, (None, "altered"): 1}
+    assert len(got) == len(rows) + 1
+
+
 # ---- op7 ------------------------------------------------------------------
 
 def shingles(text):
@@ -422,10 +525,29 @@ def test_toxicity_of_texts_that_name_groups(spark):
         score = toxicity.train(d, lab, swap_penalty=penalty).scorer()
         gaps.append(abs(score("muslim") - score("jewish")))
     assert gaps[1] < 0.5 * gaps[0]
+    plain, fair = (toxicity.train(d, lab, swap_penalty=p) for p in (0.0, 8.0))
+    assert fair.n_pairs == plain.n_pairs >= 600 and fair.gap < 0.5 * plain.gap and fair.scorer()("muslim") < plain.scorer()("muslim")
+    # Terms are a parameter; without any there are no pairs.
+    assert toxicity.train(d, lab, groups=()).n_pairs == 0
     got = {r.doc_id: r.score for r in toxicity.report(probe, lab).collect()}
     assert len(got) == 602 and abs(got[600] - got[601]) < 0.2
 
 
+def test_toxicity_pairs_without_group_terms(spark):
+    """Where no labelled text names a group, terms are put in; one that begins like a word of toxic texts gets no weight."""
+    rng = random.Random(19)
+    texts, labels = [], []
+    for k in range(500):
+        bad = k % 3 == 0
+        # "muslin" begins as "muslim" does, in letters that the features know.
+        texts.append(" ".join(words(rng, 15, 40) + ["muslin"] * (rng.random() < (0.7 if bad else 0.05)) + ["wretched"] * (rng.random() < (0.8 if bad else 0.02))))
+        labels.append((k, 1, int(bad)))
+    d, lab = docs(spark, texts), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    plain, fair = (toxicity.train(d, lab, swap_penalty=p, groups=[("muslim", "jewish")]) for p in (0.0, 8.0))
+    assert fair.n_pairs == plain.n_pairs > 700 and fair.gap < 0.6 * plain.gap
+    assert fair.scorer()("a muslim came") < plain.scorer()("a muslim came")
+
+
 # ---- op1 and op10 -----------------------------------------------------------
 
 def test_quality_classifier(spark):
