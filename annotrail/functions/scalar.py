@@ -18,8 +18,9 @@ def label(column: Column, kind: T.DataType) -> Column:
         whole = (column == F.floor(column)) & (F.abs(column) < 1e15)
         text = F.when(whole, column.cast("long").cast("string")).otherwise(column.cast("string"))
         return F.when(~F.isnan(column), text)
-    if isinstance(kind, T.DecimalType):
-        return label(column.cast("double"), T.DoubleType())
+    if isinstance(kind, T.DecimalType):  # its own digits: a double would make different large ids one
+        text = column.cast("string")
+        return F.when(text.contains("."), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text) if kind.scale else text
     return column.cast("string")
 
 
@@ -43,6 +44,11 @@ def shortened(text: str, n: int = 60) -> str:
     return text if len(text) <= n else text[:n] + "..."
 
 
+def clipped(text: Column, n: int = 60) -> Column:
+    """``shortened`` of a column."""
+    return F.when(F.length(text) <= n, text).otherwise(F.concat(F.substring(text, 1, n), F.lit("...")))
+
+
 def tokens(text: Column) -> Column:
     """The number of words between white space; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0))

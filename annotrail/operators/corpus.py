@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from annotrail.session import stored
+
 
 def sequence_ids(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
-    """Positions from 1 on in the order of ``order``: counts of ranges of the order first, so no task sorts all rows."""
-    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
+    """Positions from 1 on in the order of ``order``: counts of ranges of the order first, so no task sorts all rows.
+
+    The ranges are stored, as two evaluations need not draw the same ones.
+    """
+    spread = stored(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "ranges")
     spread = spread.withColumn("__k", F.row_number().over(W.partitionBy("__p").orderBy(*order)))
     sizes = spread.groupBy("__p").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -42,14 +49,29 @@ def stratified(df: DataFrame, by: list[str], n: int, order: Column | None = None
     return rows.withColumn("__r", whole).filter(F.col("__r") <= n).drop("__key", "__salt", "__r")
 
 
-def stratified_with_replacement(df: DataFrame, by: list[str], n: int, seed: int = 1) -> DataFrame:
-    """``n`` draws from each group with replacement; ``draw`` numbers them."""
-    places = W.partitionBy(*by).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), *[F.col(f"`{c}`") for c in df.columns])
-    rows = df.withColumn("__i", F.row_number().over(places) - 1)
-    size = rows.groupBy(*by).agg(F.count("*").alias("__n"))
-    draws = size.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    draws = draws.withColumn("__i", F.pmod(F.xxhash64(*by, "draw", F.lit(seed)), F.col("__n")).cast("int"))
-    return rows.join(draws.drop("__n"), [*by, "__i"]).drop("__i")
+def stratified_with_replacement(df: DataFrame, by: list[str], n: int, key: str | None = None, seed: int = 1) -> DataFrame:
+    """``n`` draws from each group with replacement; ``draw`` numbers them from 1 on.
+
+    Rows stand in order of the MD5 of ``key``, or of the whole row; a group is numbered in 256 parts by its first byte, so no task sorts it whole.
+    """
+    text = F.col(f"`{key}`").cast("string") if key else F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    name = F.md5(text.cast("binary"))
+    rows = df.withColumn("__m", F.coalesce(name, F.lit(""))).withColumn("__s", F.substring("__m", 1, 2))
+    sizes = rows.groupBy(*by, "__s").agg(F.count("*").alias("__n"))
+    group = W.partitionBy(*by)
+    before = F.coalesce(F.sum("__n").over(group.orderBy("__s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*by, "__s", before.alias("__before"), F.sum("__n").over(group).alias("__all"))
+    text = F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in by], F.col("draw").cast("string"), F.lit(str(seed)))
+    draws = sizes.select(*by, "__all").distinct().withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    draws = draws.withColumn("__i", F.pmod(F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long"), F.col("__all")))
+    place = F.row_number().over(W.partitionBy(*by, "__s").orderBy("__m", *[F.col(f"`{c}`") for c in df.columns])) - 1
+
+    def on(a: str, b: str, *more: str) -> Column:
+        return reduce(lambda x, y: x & y, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in (*by, *more)])
+
+    rows = rows.withColumn("__k", place).alias("r").join(sizes.select(*by, "__s", "__before").alias("s"), on("r", "s", "__s"))
+    rows = rows.select(*[f"r.{c}" for c in df.columns], (F.col("r.__k") + F.col("s.__before")).alias("__i")).alias("r")
+    return rows.join(draws.alias("d"), on("r", "d", "__i")).select(*[f"r.{c}" for c in df.columns], "d.draw")
 
 
 def crosstab(df: DataFrame, row: str, column: str, columns: list[str]) -> DataFrame:

@@ -32,9 +32,9 @@ def pairwise(ratings: DataFrame, coders: list[str]) -> DataFrame:
     return pair.select("a", "b", "n", po.alias("agreement"), ratio(po - pe, 1 - pe).alias("kappa"))
 
 
-def icr(ratings: DataFrame, coders: list[str], least: int = 2) -> DataFrame:
+def icr(ratings: DataFrame, coders: list[str], least: int = 2, order: str | None = None) -> DataFrame:
     """One row of reliability over the units with ``least`` codes or more; rates have four decimals."""
-    r = min_coders(first_codes(ratings), least)
+    r = min_coders(first_codes(ratings, order), least)
     head = r.agg(F.countDistinct("unit_id").alias("units_included"), F.countDistinct("rater_id").alias("coders"), F.countDistinct("code").alias("categories"))
     unit = r.groupBy("unit_id").agg((F.min("code") == F.max("code")).alias("same"), F.count("*").alias("k")).filter("k >= 2")
     same = unit.agg(F.avg(F.col("same").cast("double")).alias("percent_unanimous_units"))
@@ -48,12 +48,12 @@ def icr(ratings: DataFrame, coders: list[str], least: int = 2) -> DataFrame:
     return out.select(*ICR[:3], *[F.round(c, 4).alias(c) for c in ICR[3:]])
 
 
-def gold(ratings: DataFrame, coders: list[str], truth: str) -> DataFrame:
+def gold(ratings: DataFrame, coders: list[str], truth: str, order: str | None = None) -> DataFrame:
     """(coder_id, n, accuracy, precision_macro, recall_macro, f1_macro) of each other coder on the units the gold has coded.
 
     Classes are all codes of all coders on those units; means leave undefined classes out.
     """
-    r = first_codes(ratings)
+    r = first_codes(ratings, order)
     true = r.filter(F.col("rater_id") == truth).select("unit_id", F.col("code").alias("t"))
     rest = r.filter(F.col("rater_id") != truth).join(true, "unit_id")
     cells = rest.groupBy(F.col("rater_id").alias("coder_id"), "t", F.col("code").alias("e")).agg(F.count("*").alias("n"))
@@ -69,10 +69,11 @@ def gold(ratings: DataFrame, coders: list[str], truth: str) -> DataFrame:
     return c.groupBy("coder_id").agg(F.sum("nt").alias("n"), *[F.round(v, 4).alias(k) for k, v in rates.items()])
 
 
-def validate(data: DataFrame, id: str, coder_cols: list[str], min_coders: int = 2, mode: str = "icr", gold_col: str | None = None, output: str = "list"):
+def validate(data: DataFrame, id: str, coder_cols: list[str], min_coders: int = 2, mode: str = "icr", gold_col: str | None = None, output: str = "list", order: str | None = None):
     """Reliability (mode "icr") or comparison with ``gold_col`` (mode "gold") of a table with a column for each coder.
 
     output "list" gives a dictionary (icr) or the table (gold), "data.frame" long rows (metric, value).
+    Of a unit that occurs again the first code counts: by the column ``order``, or the least one where a table has no order.
     """
     if not isinstance(min_coders, int) or min_coders < 2:
         raise ValueError("min_coders must be a whole number of 2 or more")
@@ -83,12 +84,12 @@ def validate(data: DataFrame, id: str, coder_cols: list[str], min_coders: int =
         raise ValueError(f"not in the data: {', '.join(missing)}")
     if len(coder_cols) < 2:
         raise ValueError("two or more coder columns are needed")
-    ratings = wide_to_long(data, id, coder_cols)
+    ratings = wide_to_long(data, id, coder_cols, order)
     if mode == "gold":
         if gold_col not in coder_cols:
             raise ValueError("gold must be one of the coder columns")
-        return gold(ratings, coder_cols, gold_col)
-    out = icr(ratings, coder_cols, min_coders)
+        return gold(ratings, coder_cols, gold_col, order)
+    out = icr(ratings, coder_cols, min_coders, order)
     if output == "data.frame":
         return out.select([F.col(c).cast("double").alias(c) for c in ICR]).unpivot([], list(ICR), "metric", "value")
     row = out.first().asDict()

@@ -34,11 +34,11 @@ def ratings_long(raters: dict[str, DataFrame], by: str, unit: str = ".id") -> Da
     return reduce(DataFrame.unionByName, parts)
 
 
-def wide_to_long(df: DataFrame, unit: str, coders: list[str]) -> DataFrame:
-    """Ratings from a table with a column for each coder; a unit that occurs again keeps its first code in order of the codes."""
-    require(df, unit, *coders)
+def wide_to_long(df: DataFrame, unit: str, coders: list[str], order: str | None = None) -> DataFrame:
+    """Ratings from a table with a column for each coder, and the column ``order`` if it is named."""
+    require(df, unit, *coders, *([order] if order else []))
     cells = [F.struct(F.lit(c).alias("rater_id"), label(F.col(f"`{c}`"), df.schema[c].dataType).alias("code"), number(F.col(f"`{c}`"), df.schema[c].dataType).alias("num")) for c in coders]
-    return df.select(label(F.col(f"`{unit}`"), df.schema[unit].dataType).alias("unit_id"), F.inline(F.array(*cells)))
+    return df.select(label(F.col(f"`{unit}`"), df.schema[unit].dataType).alias("unit_id"), *([F.col(f"`{order}`")] if order else []), F.inline(F.array(*cells)))
 
 
 def first_codes(ratings: DataFrame, order: str | None = None) -> DataFrame:

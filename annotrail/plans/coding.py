@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import platform
 import re
 import warnings
 from dataclasses import dataclass, field, replace
@@ -15,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annotrail.plans.codebook import Codebook, Task, as_codebook, conform, record
-from annotrail.sources.backends import Backend
+from annotrail.session import exists, remove
+from annotrail.sources.backends import USAGE, Backend
 
 #: Options of how requests are sent; the others known go to the model.
 PARALLEL = ("max_active", "rpm", "on_error", "convert", "include_tokens", "include_cost")
@@ -56,9 +58,19 @@ class Coded:
     def input_type(self) -> str:
         return "human" if self.run.kind == "human" else self.run.codebook.input_type if self.run.codebook else "text"
 
+    def count_units(self) -> int:
+        """The number of units, counted once, of the units and not of the answers, which may be asked for again."""
+        if not isinstance(self.run.metadata.get("n_units"), int):
+            self.run.metadata["n_units"] = (self.df if self.source is None or self.run.kind == "human" else self.source).count()
+        return self.run.metadata["n_units"]
+
+    def total_cost(self) -> float | None:
+        """The sum of what the answers cost; null without a column ``cost``."""
+        return self.df.agg(F.sum("cost")).first()[0] if "cost" in self.df.columns else None
+
     def __repr__(self) -> str:
         r = self.run
-        lines = [f"Coded run: {r.name}", f"  Codebook: {r.codebook.name if r.codebook else '-'}", f"  Model: {r.model or 'human'}", f"  Units: {r.metadata.get('n_units', '?')}"]
+        lines = [f"Coded run: {r.name}", f"  Codebook: {r.codebook.name if r.codebook else '-'}", f"  Model: {r.model or 'human'}", f"  Units: {r.metadata.get('n_units') or 'not counted'}"]
         if r.parents:
             lines.append(f"  Parent: {', '.join(r.parents)}")
         return "\n".join(lines)
@@ -87,12 +99,16 @@ def code(
     name: str = "original",
     batch: bool = False,
     store: str | None = None,
+    overwrite: bool = False,
     **options: Any,
 ) -> Coded:
     """Codes of ``units`` (unit_id, content).
 
     With ``store``, answers are kept there by a key of unit, codebook, model and
     options; only units without one are asked for, and a run that broke off goes on.
+    With ``overwrite`` all are asked again. ``convert=False`` gives the answer as JSON text,
+    ``include_tokens`` and ``include_cost`` what the backend tells of them. With ``batch`` the
+    backend sends one job; if it isn't done yet, the same call later goes on with it.
     """
     codebook = as_codebook(codebook)
     if not {"unit_id", "content"} <= set(units.columns):
@@ -102,26 +118,27 @@ def code(
     if store is None:
         answers = backend.answer(units, codebook, asked)
     else:
-        answers = _kept(units, codebook, backend, asked, store, digest(codebook.json(), model, chat))
+        answers = _kept(units, codebook, backend, asked, store, digest(codebook.json(), model, chat), overwrite)
     answers = conform(answers, codebook)
-    fields = [F.col(f"codes.{n}").alias(n) for n, _ in codebook.schema.fields]
-    extra = ["error"] if "error" in answers.columns else []
-    metadata = {"n_units": "lazy", "spark": pyspark.__version__}
+    fields = [F.col(f"codes.{n}").alias(n) for n, _ in codebook.schema.fields] if send.get("convert", True) else [F.to_json("codes").alias("answer")]
+    extra = [c for c in (*USAGE, "error") if c in answers.columns]
+    metadata = {"n_units": None, "spark": pyspark.__version__, "python": platform.python_version()}
     run = Run(name, "coded", (), model=model, batch=batch, codebook=codebook, chat_args={"name": model, **chat}, execution_args=send, metadata=metadata, call=f"code(model={model!r}, codebook={codebook.name!r}, name={name!r})")
     return Coded(answers.select("unit_id", *fields, *extra), run, units, backend)
 
 
-def _kept(units: DataFrame, codebook: Codebook, backend: Backend, options: dict, store: str, key: str) -> DataFrame:
+def _kept(units: DataFrame, codebook: Codebook, backend: Backend, options: dict, store: str, key: str, overwrite: bool = False) -> DataFrame:
     spark = units.sparkSession
     path = f"{store.rstrip('/')}/{key}"
     keyed = units.withColumn("content_key", F.sha2(F.concat_ws("\x1f", "unit_id", "content"), 256))
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path)
+    if overwrite:
+        remove(spark, path)
+    there = exists(spark, path)
     todo = keyed.join(spark.read.parquet(path).select("content_key"), "content_key", "left_anti") if there else keyed
     new = backend.answer(todo, codebook, options)
     if "error" in new.columns:  # failed units are asked again next time
         new = new.filter("error is null")
-    new.select("content_key", "codes").write.mode("append").parquet(path)
+    new.select("content_key", "codes", *[c for c in USAGE if c in new.columns]).write.mode("append").parquet(path)
     return keyed.join(spark.read.parquet(path).dropDuplicates(["content_key"]), "content_key", "left").drop("content_key")
 
 
@@ -132,7 +149,7 @@ def human(data: DataFrame, name: str = "human_coder", codebook: Codebook | None
     rest = [c for c in data.columns if c != unit]
     df = data.select(F.col(f"`{unit}`").cast("string").alias("unit_id"), *[F.col(f"`{c}`") for c in rest])
     codebook = codebook or Codebook("Human-coded data", "Codes assigned by people", record())
-    meta = {**(metadata or {}), "source": "human", "n_units": "lazy"}
+    meta = {**(metadata or {}), "source": "human", "n_units": None}
     run = Run(name, "human", codebook=codebook, chat_args={"source": "human"}, metadata=meta, call=f"human(name={name!r})")
     return Coded(df, run, texts)
 

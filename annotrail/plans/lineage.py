@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import warnings
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from annotrail.functions.scalar import require
 from annotrail.operators import reliability, validation
 from annotrail.operators.ratings import check, first_codes, ratings_long
 from annotrail.plans.coding import Coded, Run, digest
+from annotrail.session import exists, read_text, stored, write_text
 
 RUNS = "name string, kind string, parents array<string>, ts timestamp, model string, batch boolean, codebook_name string, codebook_json string, chat_args map<string,string>, execution_args map<string,string>, metadata map<string,string>, call string, metrics map<string,double>"
 
@@ -48,17 +50,22 @@ class Result:
     run: Run
     by_class: DataFrame | None = None
     confusion: DataFrame | None = None
+    about: dict[str, Any] = field(default_factory=dict)
     _row: dict | None = field(default=None, repr=False)
 
     def metrics(self) -> dict[str, Any]:
         if self._row is None:
             self._row = self.df.first().asDict()
+            if undefined := [NAMES.get(k, k) for k, v in self._row.items() if v is None]:
+                warnings.warn(f"undefined for these codes: {', '.join(undefined)}", stacklevel=3)
             self.run.metrics = {k: v for k, v in self._row.items() if v is not None}
         return self._row
 
     def __getattr__(self, name: str) -> Any:
         if name.startswith("_"):
             raise AttributeError(name)
+        if name in self.about:
+            return self.about[name]
         row = self.metrics()
         if name in row:
             return row[name]
@@ -103,7 +110,7 @@ def compare(objects: dict[str, Coded | DataFrame] | list, by: str, level: str =
         check(ratings, list(tables))
     parents = tuple(r.name for r in runs.values())
     name = f"comparison_{digest('comparison', parents, by, level, tolerance, order)[:8]}"
-    return Result(reliability.compare(ratings, list(tables), level, tolerance, order, compat), Run(name, "comparison", parents, call=f"compare(by={by!r}, level={level!r})"))
+    return Result(reliability.compare(ratings, list(tables), level, tolerance, order, compat), Run(name, "comparison", parents, call=f"compare(by={by!r}, level={level!r})"), about={"variable": by, "level": level, "tolerance": tolerance})
 
 
 def validate(x: Coded | DataFrame, gold: Coded | DataFrame, by: str, level: str = "nominal", average: str = "macro", order: list[str] | None = None, unit: str = ".id", strict: bool = True, compat: bool = False) -> Result:
@@ -137,7 +144,8 @@ def validate(x: Coded | DataFrame, gold: Coded | DataFrame, by: str, level: str
     table = None if level == "interval" else validation.confusion(pairs)
     out = validation.validate(ratings, "estimate", "truth", level, "macro" if average == "none" else average, order, compat)
     classes = validation.by_class(table) if average == "none" and level == "nominal" else None
-    return Result(out, Run(name, "validation", parents, call=f"validate(by={by!r}, level={level!r})"), classes, table)
+    about = {"variable": by, "level": level, "average": average if level == "nominal" else None}
+    return Result(out, Run(name, "validation", parents, call=f"validate(by={by!r}, level={level!r})"), classes, table, about)
 
 
 @dataclass
@@ -177,6 +185,7 @@ def trail(*objects: Coded | Result) -> Trail:
             x.metrics()
         else:
             data[x.run.name] = x.df
+            x.count_units()
         runs[x.run.name] = x.run
     complete = all(p in runs for r in runs.values() for p in r.parents)
     return Trail(ordered(runs), complete, data)
@@ -198,21 +207,26 @@ def missing_parents(runs: DataFrame) -> DataFrame:
     return edges.join(runs.select(F.col("name").alias("parent")), "parent", "left_anti").select("child", "parent")
 
 
-def depths(runs: DataFrame) -> DataFrame:
-    """(name, depth): 0 for runs without a parent among the runs, else one more than the deepest parent."""
-    spark = runs.sparkSession
-    edges = runs.select(F.col("name").alias("child"), F.explode("parents").alias("parent"))
-    edges = edges.join(runs.select(F.col("name").alias("parent")), "parent").select("child", "parent")
-    # Names of its own, as temporary views are the session's.
-    v = digest(id(runs), id(edges))[:8]
-    runs.select("name").createOrReplaceTempView(f"runs_{v}")
-    edges.createOrReplaceTempView(f"edges_{v}")
-    return spark.sql(f"""
-        WITH RECURSIVE line(name, depth) AS (
-          SELECT name, 0 FROM runs_{v} WHERE name NOT IN (SELECT child FROM edges_{v})
-          UNION ALL
-          SELECT e.child, l.depth + 1 FROM line l JOIN edges_{v} e ON e.parent = l.name
-        ) SELECT name, max(depth) AS depth FROM line GROUP BY name""")
+def depths(runs: DataFrame, rounds: int = 10_000) -> DataFrame:
+    """(name, depth): 0 for runs without a parent among the runs, else one more than the deepest parent.
+
+    Level by level: a run is placed once all its parents are, so every edge is read once for each level it waits, however many
+    paths there are. Runs on a cycle, and those below one, are never placed; their depth is null.
+    """
+    names = stored(runs.select("name").distinct(), "names")
+    edges = runs.select(F.col("name").alias("child"), F.explode("parents").alias("parent")).distinct()
+    waiting = stored(edges.join(names.select(F.col("name").alias("parent")), "parent").select("child", "parent"), "edges")
+    level = stored(names.join(waiting.select(F.col("child").alias("name")), "name", "left_anti"), "level")
+    placed = [level.withColumn("depth", F.lit(0))]
+    for depth in range(1, rounds):
+        above = stored(waiting.join(level.select(F.col("name").alias("parent")), "parent", "left_anti"), "edges")
+        ready = waiting.select(F.col("child").alias("name")).distinct().join(above.select(F.col("child").alias("name")), "name", "left_anti")
+        level, waiting = stored(ready, "level"), above
+        if level.isEmpty():
+            break
+        placed.append(level.withColumn("depth", F.lit(depth)))
+    every = reduce(DataFrame.unionByName, placed)
+    return names.join(every, "name", "left")
 
 
 def save(t: Trail, path: str, spark: SparkSession) -> None:
@@ -224,16 +238,35 @@ def save(t: Trail, path: str, spark: SparkSession) -> None:
         df.write.mode("overwrite").parquet(f"{path}/data/{digest(name)[:16]}")
 
 
-def exported(t: Trail) -> str:
-    """The trail as JSON."""
+def exported(t: Trail, file: str | None = None, spark: SparkSession | None = None) -> str:
+    """The trail as JSON, also written to ``file`` on any file system if one is named."""
     runs = []
     for r in t.runs:
         one = {"name": r.name, "parent": list(r.parents) if len(r.parents) > 1 else r.parents[0] if r.parents else None, "timestamp": r.timestamp.strftime("%Y-%m-%d %H:%M:%S"), "model": r.model, "temperature": r.temperature, "codebook_name": r.codebook.name if r.codebook else None, "call": r.call, "metadata": {k: v for k, v in r.metadata.items()}}
         runs.append(one)
-    return json.dumps({"complete": t.complete, "n_runs": len(t.runs), "runs": runs}, indent=2, default=str)
+    text = json.dumps({"complete": t.complete, "n_runs": len(t.runs), "runs": runs}, indent=2, default=str)
+    if file is not None:
+        write_text(spark or SparkSession.active(), file, text)
+    return text
+
+
+def imported(spark: SparkSession, file: str) -> dict[str, Any]:
+    """What ``exported`` wrote."""
+    return json.loads(read_text(spark, file))
+
+
+def load(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """The runs and each run's codes, by name, as ``save`` wrote them."""
+    runs = spark.read.parquet(f"{path}/runs")
+    coded = [r["name"] for r in runs.filter(F.col("kind").isin("coded", "human")).select("name").collect()]
+    return runs, {n: spark.read.parquet(f"{path}/data/{digest(n)[:16]}") for n in coded if exists(spark, f"{path}/data/{digest(n)[:16]}")}
+
+
+#: Facts on a comparison that stand before its metrics.
+FACTS = {"level": "Level", "subjects": "Subjects", "raters": "Raters", "kappa_type": "Kappa type", "n": "Units", "n_classes": "Classes"}
 
 
-def report(t: Trail, file: str, include_comparisons: bool = False, include_validations: bool = False) -> str:
+def report(t: Trail, file: str, include_comparisons: bool = False, include_validations: bool = False, spark: SparkSession | None = None) -> str:
     """Write the report to a .qmd or .Rmd file and return its text."""
     kind = file.rsplit(".", 1)[-1]
     if kind not in ("qmd", "Rmd"):
@@ -249,11 +282,11 @@ def report(t: Trail, file: str, include_comparisons: bool = False, include_valid
             out += [f"## {title}", ""]
         for r in found:
             out += [f"### {r.name}", "", f"- **Runs:** {', '.join(r.parents)}"]
+            out += [f"- **{title}:** {r.metrics[n]}" for n, title in FACTS.items() if r.metrics.get(n) is not None]
             out += [f"- **{NAMES[n]}:** {v:.4f}" for n, v in r.metrics.items() if n in NAMES and v is not None] + [""]
     out += ["## System information", ""] + [f"- **{k}:** {v}" for k, v in sorted({(k, str(v)) for r in t.runs for k, v in r.metadata.items() if k in ("spark", "python")})]
     text = "\n".join(out) + "\n"
-    with open(file, "w") as f:
-        f.write(text)
+    write_text(spark or SparkSession.active(), file, text)
     return text
 
 
@@ -267,9 +300,9 @@ def archive(x: Trail | Coded | Result, *more: Coded | Result, path: str | None =
         t = x
     else:
         t = trail(x, *more)
-    save(t, path, spark or SparkSession.active())
-    with open(f"{path}/trail.json", "w") as f:
-        f.write(exported(t))
+    spark = spark or SparkSession.active()
+    save(t, path, spark)
+    exported(t, f"{path}/trail.json", spark)
     if with_report:
-        report(t, f"{path}/trail.qmd")
+        report(t, f"{path}/trail.qmd", include_comparisons=True, include_validations=True, spark=spark)
     return t

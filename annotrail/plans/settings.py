@@ -42,11 +42,15 @@ def annotate(data: DataFrame, task: Codebook | Task, model: str, backend: Backen
     return code(data, task, model, backend, **options).df
 
 
-def record(data: DataFrame, text_col: str, task: Codebook | Task, setting: Setting, backend: Backend, id_col: str = "id", cache_dir: str | None = None) -> Record:
-    """One run of a setting; with ``cache_dir``, answers once given are read again."""
+def record(data: DataFrame, text_col: str, task: Codebook | Task, setting: Setting, backend: Backend, id_col: str = "id", cache_dir: str | None = None, overwrite: bool = False, annotate_fun: Callable[..., DataFrame] | None = None) -> Record:
+    """One run of a setting; with ``cache_dir``, answers once given are read again unless ``overwrite``.
+
+    ``annotate_fun(units, task, model, backend, temperature=..., ...)`` stands in for the engine's own coding, and isn't cached.
+    """
     units = data.select(F.col(id_col).cast("string").alias("unit_id"), F.col(text_col).alias("content"))
-    run = code(units, task, f"{setting.provider}/{setting.model}", backend, store=cache_dir, temperature=setting.temperature, **setting.extra)
-    return Record(setting, run.df.withColumnRenamed("unit_id", id_col))
+    model, options = f"{setting.provider}/{setting.model}", {"temperature": setting.temperature, **setting.extra}
+    df = annotate_fun(units, task, model, backend, **options) if annotate_fun else code(units, task, model, backend, store=cache_dir, overwrite=overwrite, **options).df
+    return Record(setting, df.withColumnRenamed("unit_id", id_col))
 
 
 def matrix(records: dict[str, Record], id_col: str = "id", label_col: str = "label") -> DataFrame:
@@ -59,7 +63,7 @@ def icr(records: dict[str, Record], id_col: str = "id", label_col: str = "label"
     return icr_fun(matrix(records, id_col, label_col), id=id_col, coder_cols=list(records), min_coders=min_coders, **options)
 
 
-def compare(data: DataFrame, text_col: str, task: Codebook | Task, settings: dict[str, Setting], backends: dict[str, Backend], id_col: str = "id", label_col: str = "label", cache_dir: str | None = None, min_coders: int = 2) -> dict[str, Any]:
+def compare(data: DataFrame, text_col: str, task: Codebook | Task, settings: dict[str, Setting], backends: dict[str, Backend], id_col: str = "id", label_col: str = "label", cache_dir: str | None = None, min_coders: int = 2, overwrite: bool = False, annotate_fun: Callable[..., DataFrame] | None = None) -> dict[str, Any]:
     """All settings' records, their matrix and its reliability."""
-    records = {n: record(data, text_col, task, s, backends[n], id_col, cache_dir) for n, s in settings.items()}
+    records = {n: record(data, text_col, task, s, backends[n], id_col, cache_dir, overwrite, annotate_fun) for n, s in settings.items()}
     return {"records": records, "matrix": matrix(records, id_col, label_col), "icr": icr(records, id_col, label_col, min_coders)}

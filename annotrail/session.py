@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -30,3 +31,59 @@ def ship(spark: SparkSession) -> SparkSession:
             spark.sparkContext.addPyFile(str(archive))
         _shipped.add(app)
     return spark
+
+
+def _path(spark: SparkSession, path: str):
+    """(Hadoop file system, path)."""
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jpath
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, jpath = _path(spark, path)
+    return fs.exists(jpath)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, jpath = _path(spark, path)
+    fs.delete(jpath, True)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, on any file system that Spark can write to."""
+    fs, jpath = _path(spark, path)
+    out = fs.create(jpath, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a temporary one where the master is this machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="annotrail-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, which goes when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/annotrail-{name}-{uuid.uuid4().hex}"
+    fs, jpath = _path(spark, path)
+    fs.deleteOnExit(jpath)
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: the lineage ends here and is evaluated once."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

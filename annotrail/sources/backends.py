@@ -20,6 +20,10 @@ from pyspark.sql import types as T
 from annotrail.plans.codebook import Codebook
 
 
+#: Columns on what an answer took, which a backend may add.
+USAGE = ("input_tokens", "output_tokens", "cost")
+
+
 class Backend(Protocol):
     def answer(self, units: DataFrame, codebook: Codebook, options: dict) -> DataFrame: ...
 
@@ -48,7 +52,9 @@ class ReplayBackend:
 
 
 class CallBackend:
-    """Codes from ``ask(prompt, content, options)``, which returns a dictionary of the schema's fields.
+    """Codes from ``ask(prompt, content, options)``, which returns a dictionary of the schema's fields, or that and one of ``USAGE``.
+
+    ``include_tokens`` and ``include_cost`` add those columns.
 
     ``max_active`` bounds the requests of a task at a time, ``rpm`` those of all tasks a
     minute, shared evenly by the partitions. ``on_error`` is "return" (null codes and the
@@ -64,14 +70,17 @@ class CallBackend:
         parts = units.rdd.getNumPartitions() if options.get("rpm") else 1
         pause = 60.0 * parts / options["rpm"] if options.get("rpm") else 0.0
         names = [f.name for f in units.schema]
+        usage = [*(USAGE[:2] if options.get("include_tokens") else ()), *(USAGE[2:] if options.get("include_cost") else ())]
 
         def one(content):
             try:
-                return json.dumps(ask(prompt, content, options)), None
+                got = ask(prompt, content, options)
+                fields, used = got if isinstance(got, tuple) else (got, {})
+                return json.dumps(fields), None, [used.get(c) for c in usage]
             except Exception as error:  # a service may fail for one unit and not for others
                 if stop:
                     raise
-                return None, str(error)
+                return None, str(error), [None] * len(usage)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             import time
@@ -84,9 +93,9 @@ class CallBackend:
                         if pause:
                             time.sleep(pause)
                     got = [j.result() for j in jobs]
-                    yield batch[names].assign(__answer=[g[0] for g in got], error=[g[1] for g in got])
+                    yield batch[names].assign(__answer=[g[0] for g in got], error=[g[1] for g in got], **{c: pd.Series([g[2][k] for g in got], dtype="float64") for k, c in enumerate(usage)})
 
-        schema = T.StructType([*units.schema.fields, T.StructField("__answer", T.StringType()), T.StructField("error", T.StringType())])
+        schema = T.StructType([*units.schema.fields, T.StructField("__answer", T.StringType()), T.StructField("error", T.StringType()), *[T.StructField(c, T.DoubleType()) for c in usage]])
         out = units.mapInPandas(run, schema)
         return out.withColumn("codes", F.from_json("__answer", codebook.schema.spark())).drop("__answer")
 
