@@ -6,10 +6,12 @@ import warnings
 import pytest
 from pyspark.sql import functions as F
 
-from annotrail.operators import corpus
+from annotrail.functions.scalar import label
+from annotrail.operators import corpus, legacy
 from annotrail.plans import codebook as cb
 from annotrail.plans import coding, lineage, settings
-from annotrail.sources.backends import CallBackend, ReplayBackend, RuleBackend, texts
+from annotrail.sources.backends import CallBackend, ReplayBackend, RuleBackend, images, texts
+from annotrail.sources.batch import BatchBackend, BatchPending
 from annotrail.streaming.coding import coded_stream
 
 
@@ -82,6 +84,68 @@ def test_store_resumes_and_errors_are_isolated(spark, units, tmp_path):
     assert {r.unit_id: r.rating for r in again.df.collect()} == {"1": 4, "2": 3, "3": 5}
 
 
+def test_batch_job_goes_on(spark, units, tmp_path):
+    class Service:
+        def __init__(self):
+            self.sent, self.done = [], False
+
+        def submit(self, requests, prompt, options):
+            self.sent.append(requests)
+            return "job-1"
+
+        def answers(self, job):
+            if not self.done:
+                return None
+            out = str(tmp_path / "answers")
+            spark.read.json(self.sent[0]).selectExpr("unit_id", "'pos' as sentiment", "length(content) as rating").write.mode("overwrite").json(out)
+            return out
+
+    service = Service()
+    ask = lambda u=units, **more: coding.code(u, cb.SENTIMENT, "m", BatchBackend(service, str(tmp_path / "jobs"), 0.01), batch=True, **more)
+    with pytest.raises(BatchPending):
+        ask(wait=False)
+    service.done = True
+    assert {r.unit_id: r.rating for r in ask(wait=True).df.collect()} == {"1": 4, "2": 3, "3": 5} and len(service.sent) == 1
+    with pytest.raises(ValueError):
+        ask(units.filter("unit_id = '1'"))
+    assert ask(units.filter("unit_id = '1'"), ignore_hash=True).df.count() == 1
+
+
+def test_tokens_cost_and_overwrite(spark, units, tmp_path):
+    def ask(prompt, content, options):
+        return {"sentiment": "pos", "rating": 1}, {"input_tokens": len(content), "output_tokens": 2, "cost": 0.5}
+
+    run = coding.code(units, cb.SENTIMENT, "m", CallBackend(ask), include_tokens=True, include_cost=True)
+    assert run.df.columns == ["unit_id", "sentiment", "rating", "input_tokens", "output_tokens", "cost", "error"] and run.total_cost() == 1.5
+    assert json.loads(coding.code(units, cb.SENTIMENT, "m", CallBackend(ask), convert=False).df.first().answer) == {"sentiment": "pos", "rating": 1}
+    assert run.count_units() == 3 and run.run.metadata["n_units"] == 3
+    coding.code(units, cb.SENTIMENT, "m", CallBackend(ask), store=str(tmp_path))
+    again = coding.code(units, cb.SENTIMENT, "m", rules(), store=str(tmp_path), overwrite=True)
+    assert {r.unit_id: r.rating for r in again.df.collect()} == {"1": 4, "2": 3, "3": 5}
+
+
+def test_depths_of_diamonds_and_cycles(spark):
+    rows = [("r", [])] + [(f"{x}{k}", [f"a{k - 1}", f"b{k - 1}"] if k else ["r"]) for k in range(6) for x in "ab"] + [("x", ["y"]), ("y", ["x"]), ("z", ["x", "r"])]
+    got = {r.name: r.depth for r in lineage.depths(spark.createDataFrame(rows, "name string, parents array<string>")).collect()}
+    assert got["r"] == 0 and got["a5"] == got["b5"] == 6 and got["x"] is got["y"] is got["z"] is None and len(got) == 16
+
+
+def test_first_code_by_order_and_decimal_ids(spark):
+    d = spark.createDataFrame([(1, "u", "b", "b"), (2, "u", "a", "b"), (3, "v", "a", "a")], "k int, id string, x string, y string")
+    assert legacy.validate(d, "id", ["x", "y"])["percent_unanimous_units"] == 0.5
+    assert legacy.validate(d, "id", ["x", "y"], order="k")["percent_unanimous_units"] == 1.0
+    big = spark.sql("select cast('9007199254740993' as decimal(20,0)) i union all select cast('9007199254740992' as decimal(20,0)) union all select 3")
+    assert sorted(r.t for r in big.select(label(F.col("i"), big.schema["i"].dataType).alias("t")).collect()) == ["3", "9007199254740992", "9007199254740993"]
+    cents = spark.sql("select cast('1.50' as decimal(10,2)) i union all select cast('2.00' as decimal(10,2)) union all select cast('100' as decimal(10,2))")
+    assert sorted(r.t for r in cents.select(label(F.col("i"), cents.schema["i"].dataType).alias("t")).collect()) == ["1.5", "100", "2"]
+
+
+def test_images(spark, tmp_path):
+    for n in ("a.png", "b.jpg"):
+        (tmp_path / n).write_bytes(b"x")
+    assert sorted(r.unit_id for r in images(spark, str(tmp_path)).collect()) == ["a.png", "b.jpg"]
+
+
 def test_trail(spark, units, tmp_path):
     one = coding.code(units, cb.SENTIMENT, "a/one", rules(), params={"temperature": 0.5})
     two = coding.replicate(one)
