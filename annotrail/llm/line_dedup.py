@@ -26,14 +26,10 @@ empty. Repeated rows are pages with the same text.
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annotrail.llm.common import like, stored, text_key
+from annotrail.llm.common import like, perhaps, stored, text_key
 
 MAX_RATIO = 0.1
 MIN_PAGES = 5
@@ -113,32 +109,24 @@ def _applied(docs: DataFrame, host: str, text: str, found: DataFrame) -> DataFra
 
 
 def _without(docs: DataFrame, host: str, text: str, found: DataFrame) -> DataFrame:
-    """``docs`` without the lines ``found``, whose number for a host has no bound: they are sent out as sets of names."""
-    named = found.select(F.col("host").cast("string").alias("h"), F.unhex("line").alias("line")).toArrow()
-    sets: dict[str | None, set[bytes]] = {}
-    for h, line in zip(*(c.to_pylist() for c in named.columns), strict=True):
-        sets.setdefault(h, set()).add(line)
-    sent = docs.sparkSession.sparkContext.broadcast(sets)
-    at = docs.columns.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = sent.value
-        for whole in batches:
-            for k in range(0, whole.num_rows, 2048):
-                batch = whole.slice(k, 2048)
-                out = [_kept(t, sets.get(h)) for h, t in zip(batch.column(batch.num_columns - 1).to_pylist(), batch.column(at).to_pylist(), strict=True)]
-                columns = batch.columns[:-1]
-                columns[at] = pa.array(out, batch.schema.field(at).type)
-                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
-
-    return docs.withColumn("__host", F.col(host).cast("string")).mapInArrow(run, docs.schema)
-
-
-def _kept(text: str | None, drops: set[bytes] | None) -> str | None:
-    if text is None or not drops:
-        return text
-    lines = text.split("\n")
-    return "\n".join(x for x in lines if not x.strip(" \t\n\x0b\x0c\r") or hashlib.md5(x.strip(" ").encode()).digest() not in drops)
+    """``docs`` without the lines ``found``, whose number has no bound, so nothing is sent out but bitmaps of bounded size.
+
+    Lines that may be among them meet the list by host and line; texts that lose some meet their lines by host and text.
+    """
+    page = docs.select(F.col(host).alias("__host"), text_key(F.col(text)).alias("__page"), F.col(text).alias("t")).filter("t is not null")
+    lines = page.select("__host", "__page", F.explode(F.array_distinct(F.transform(_lines(F.col("t")), _name))).alias("__line")).filter("__line is not null")
+    sought = found.select(F.col("host").alias("__host"), F.col("line").alias("__line"))
+    near = perhaps(lines, sought, ["__host", "__line"]).filter("__hit").drop("__hit").alias("x")
+    listed = near.join(sought.alias("y"), F.col("x.__host").eqNullSafe(F.col("y.__host")) & (F.col("x.__line") == F.col("y.__line")))
+    drops = listed.groupBy("x.__host", "x.__page").agg(F.collect_set("x.__line").alias("__drops"))
+    drops = stored(drops, "boilerplate-of-texts")
+
+    rows = perhaps(docs.withColumn("__host", F.col(host)).withColumn("__page", text_key(F.col(text))), drops, ["__host", "__page"])
+    some = rows.filter("__hit").alias("x")
+    some = some.join(drops.alias("y"), F.col("x.__host").eqNullSafe(F.col("y.__host")) & (F.col("x.__page") == F.col("y.__page")), "left")
+    kept = F.filter(_lines(F.col(text)), lambda x: ~F.coalesce(F.array_contains("__drops", _name(x)), F.lit(False)))
+    some = some.withColumn(text, F.when(F.col("__drops").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")))
+    return rows.filter("not __hit").select(*docs.columns).unionByName(some.select(*docs.columns))
 
 
 def dedup_lines(
