@@ -262,6 +262,17 @@ def _similar(one: pa.StructArray, two: pa.StructArray) -> Iterator[tuple[bytes,
                 yield ids[0][k], classes_[1][j], ids[1][j]
 
 
+def _joined(found: DataFrame, extra: DataFrame) -> DataFrame:
+    """The components with further links, which are few and connect whole components."""
+    of = found.select("id", "component")
+    links = extra.join(of.toDF("a", "ca"), "a", "left").join(of.toDF("b", "cb"), "b", "left")
+    links = links.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    more = stored(components(links), "more-components")
+    alone = more.select("id").join(of, "id", "left_anti").select("id", F.col("id").alias("component"))
+    every = of.unionByName(alone).join(more.toDF("component", "c"), "component", "left")
+    return every.select("id", F.coalesce("c", "component").alias("component"))
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, members): rows (doc, id) with the text's name, and members (id, component) of classes with several texts."""
     signed = stored(_signed(docs, id_col, text_col), "signatures")
@@ -298,7 +309,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         if not mixed.isEmpty():
             extra = _across(mixed, texts)
             if not extra.isEmpty():
-                found = stored(components(links.union(extra)), "components")
+                found = stored(_joined(found, extra), "components")
     return signed.select("doc", "id", F.col("sig").isNotNull().alias("worded")), found
 
 
