@@ -131,28 +131,26 @@ class Model:
 
 def fit(samples: list[tuple[float, list[int], list[list[int]]]], n_features: int, swap_penalty: float = SWAP_PENALTY):
     """Weights and intercept from (label, features, features after each swap)."""
-    pairs = [(sorted(set(s[1]) - set(g)), sorted(set(g) - set(s[1]))) for s in samples for g in s[2]]
-    return fit_pairs([s[:2] for s in samples], pairs, n_features, swap_penalty)
+    y = np.array([s[0] for s in samples])
+    row = np.repeat(np.arange(len(samples)), [len(s[1]) for s in samples])
+    col = np.fromiter((x for s in samples for x in s[1]), np.int64)
+    pairs = [(set(s[1]), set(g)) for s in samples for g in s[2]]
+    change = [(k, x, sign) for k, (a, b) in enumerate(pairs) for x, sign in [*((x, 1.0) for x in sorted(b - a)), *((x, -1.0) for x in sorted(a - b))]]
+    c_row, c_col = (np.array([c[k] for c in change], np.int64) for k in range(2))
+    return descent(y, row, col, len(pairs), c_row, c_col, np.array([c[2] for c in change]), n_features, swap_penalty)
 
 
-def fit_pairs(samples: list[tuple[float, list[int]]], pairs: list[tuple[list[int], list[int]]], n_features: int, swap_penalty: float = SWAP_PENALTY):
-    """Weights and intercept from (label, features) and, for each pair, the features that only one and only the other side has.
+def descent(y, row, col, n_pairs: int, c_row, c_col, c_sign, n_features: int, swap_penalty: float):
+    """Weights and intercept from labels, features (row, col), and for each pair the features with their sign that its second side has and the first hasn't.
 
     Nesterov's accelerated descent on the mean logistic loss + ridge + swap penalty.
     """
-    y = np.array([s[0] for s in samples])
-    row = np.repeat(np.arange(len(samples)), [len(s[1]) for s in samples])
-    col = np.fromiter((x for s in samples for x in s[1]), np.int64)
-    change = [(k, x, sign) for k, (gone, come) in enumerate(pairs) for x, sign in [*((x, 1.0) for x in come), *((x, -1.0) for x in gone)]]
-    c_row = np.array([c[0] for c in change], np.int64)
-    c_col = np.array([c[1] for c in change], np.int64)
-    c_sign = np.array([c[2] for c in change])
 
     def times(w):
         return np.bincount(row, w[col], len(y)) if len(col) else np.zeros(len(y))
 
     def moved(w):
-        return np.bincount(c_row, c_sign * w[c_col], len(pairs))
+        return np.bincount(c_row, c_sign * w[c_col], n_pairs)
 
     def back(r, c, v):
         return np.bincount(c, v[r], n_features) if len(c) else np.zeros(n_features)
@@ -162,8 +160,8 @@ def fit_pairs(samples: list[tuple[float, list[int]]], pairs: list[tuple[list[int
     curve = 1.0
     for _ in range(12):
         up = back(row, col, times(w)) / (4 * len(y)) + RIDGE * w
-        if len(change):
-            up += 2 * swap_penalty * np.bincount(c_col, c_sign * moved(w)[c_row], n_features) / len(pairs)
+        if len(c_row):
+            up += 2 * swap_penalty * np.bincount(c_col, c_sign * moved(w)[c_row], n_features) / n_pairs
         curve = float(np.linalg.norm(up)) or 1.0
         w = up / curve
     step = 1 / (1.1 * curve + 0.25)
@@ -173,8 +171,8 @@ def fit_pairs(samples: list[tuple[float, list[int]]], pairs: list[tuple[list[int
     for _ in range(STEPS):
         miss = 1 / (1 + np.exp(-np.clip(times(ahead) + b_ahead, -500, 500))) - y
         grad = back(row, col, miss) / len(y) + RIDGE * ahead
-        if len(change):
-            grad += 2 * swap_penalty * np.bincount(c_col, c_sign * moved(ahead)[c_row], n_features) / len(pairs)
+        if len(c_row):
+            grad += 2 * swap_penalty * np.bincount(c_col, c_sign * moved(ahead)[c_row], n_features) / n_pairs
         new, b_new = ahead - step * grad, b_ahead - step * miss.mean()
         faster = (1 + np.sqrt(1 + 4 * speed * speed)) / 2
         ahead, b_ahead = new + (speed - 1) / faster * (new - w), b_new + (speed - 1) / faster * (b_new - b)
@@ -199,12 +197,12 @@ def train(
     if n > MAX_LABELLED:
         known = known.filter(F.pmod(F.xxhash64("i"), F.lit(1 << 20)) < int((1 << 20) * MAX_LABELLED / n))
     known = known.groupBy("i").agg((F.avg("y") >= 0.5).cast("double").alias("y"))
-    rows = docs.select(ident.alias("i"), F.col(text_col).alias("t")).join(F.broadcast(stored(known, "toxicity-labels")), "i")
+    rows = docs.select(ident.alias("i"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h")).join(F.broadcast(stored(known, "toxicity-labels")), "i")
 
     swap = swaps(groups)
 
     def make():
-        def one(y, text):
+        def one(h, y, text):
             found = words(text)
             own = {f for w in found for f in features(w)}
             pick = lambda ws: own | {f for w in ws - found for f in features(w)} if ws >= found else {f for w in ws for f in features(w)}
@@ -213,11 +211,11 @@ def train(
             for a, b in swapped(found, swap):
                 a, b = pick(a), pick(b)
                 pairs.append([sorted(a - b), sorted(b - a), sorted(a - own), sorted(own - a)])
-            yield y, sorted(own), pairs
+            yield h, y, sorted(own), pairs
 
         return one
 
-    rows = stored(by_row(rows, ["y", "t"], "y double, f array<bigint>, g array<array<array<bigint>>>", make), "toxicity-rows")
+    rows = stored(by_row(rows, ["h", "y", "t"], "h bigint, y double, f array<bigint>, g array<array<array<bigint>>>", make), "toxicity-rows")
     total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0.0)).alias("pos")).first()
     pos, neg = total["pos"], total["n"] - total["pos"]
     if not pos or not neg:
@@ -235,21 +233,37 @@ def train(
     here = set(chosen)
 
     def slim():
-        def one(y, f, g):
-            yield y, [at[x] for x in f if x in here], [[[at[x] for x in h if x in here] for h in pair] for pair in g]
+        def one(h, y, f, g):
+            yield h, y, [at[x] for x in f if x in here], [[[at[x] for x in part if x in here] for part in pair] for pair in g]
 
         return one
 
-    slimmed = by_row(rows, ["y", "f", "g"], "y double, f array<bigint>, g array<array<array<bigint>>>", slim)
-    samples = sorted((r.y, list(r.f), [[list(h) for h in pair] for pair in r.g]) for r in slimmed.collect())
-    sides = [(set(f) - set(drop) | set(add), gone, come) for _, f, g in samples for gone, come, add, drop in g]
-    w, b = fit_pairs([(y, f) for y, f, _ in samples], [(gone, come) for _, gone, come in sides], len(chosen), swap_penalty)
-
-    def score(x):
-        return 1 / (1 + np.exp(-np.clip(b + w[sorted(x)].sum(), -500, 500)))
-
-    gap = float(np.mean([abs(score(x) - score(x - set(gone) | set(come))) for x, gone, come in sides])) if sides else 0.0
-    return Model({f: float(w[k]) for f, k in at.items() if w[k]}, float(b), len(sides), gap)
+    # As arrays, in an order of their own: sums of floats depend on it.
+    found = by_row(rows, ["h", "y", "f", "g"], "h bigint, y double, f array<int>, g array<array<array<int>>>", slim).toArrow().sort_by([("h", "ascending"), ("y", "ascending")])
+    y, (f, g) = found["y"].to_numpy(), (found[c].combine_chunks() for c in "fg")
+    row, col = _flat(f)
+    of_pair, pairs = _of(g), g.flatten()
+    part, member = _flat(pairs.flatten())  # four parts of each pair: gone, come, added, dropped
+    pair, kind = part // 4, part % 4
+    moved = kind < 2
+    sign = np.where(kind % 2 == 1, 1.0, -1.0)
+    w, b = descent(y, row, col, len(pairs), pair[moved], member[moved], sign[moved], len(chosen), swap_penalty)
+    gap = 0.0
+    if len(pairs):
+        own = np.bincount(row, w[col], len(y))[of_pair]
+        first = b + own + np.bincount(pair[~moved], -sign[~moved] * w[member[~moved]], len(pairs))
+        second = first + np.bincount(pair[moved], sign[moved] * w[member[moved]], len(pairs))
+        gap = float(np.abs(np.diff([1 / (1 + np.exp(-np.clip(z, -500, 500))) for z in (first, second)], axis=0)).mean())
+    return Model({f: float(w[k]) for f, k in at.items() if w[k]}, float(b), len(pairs), gap)
+
+
+def _of(lists) -> np.ndarray:
+    """The list that each value of an Arrow array of lists is in."""
+    return np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+
+
+def _flat(lists) -> tuple[np.ndarray, np.ndarray]:
+    return _of(lists), lists.flatten().to_numpy().astype(np.int64)
 
 
 def _scored(docs: DataFrame, columns: list[str], text_col: str, model: Model) -> DataFrame:
