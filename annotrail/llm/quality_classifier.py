@@ -18,6 +18,7 @@ intercept alone. Repeated rows count each.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -38,12 +39,15 @@ _CLASS = np.array(
     [1 if 97 <= c <= 122 else 2 if 65 <= c <= 90 else 3 if 48 <= c <= 57 else 4 if c in (32, 9) else 5 if c == 10 else 1 if c >= 128 else c for c in range(256)],
     np.uint64,
 )
+#: Ranges of the statistics.
+_EDGES = np.geomspace(1e-3, 30, 24)
 _PLAIN = re.compile(rb"[\"'(]?[A-Za-z\x80-\xff'-]+[.,;:?!\"')]?")
 _END = (b".", b"!", b"?", b'"', b":", b";", b")")
 
 
 def statistics(raw: bytes) -> dict[str, float]:
     words = raw.split()
+    each = Counter(words)
     n = max(len(words), 1)
     lines = [x.strip() for x in raw.split(b"\n") if x.strip()]
     counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
@@ -53,7 +57,7 @@ def statistics(raw: bytes) -> dict[str, float]:
     marks = sum(int(counts[c]) for c in b"!?")
     return {
         "words": len(words),
-        "variety": len(set(words)) / n,
+        "variety": len(each) / n,
         "mean_word": sum(map(len, words)) / n,
         "upper": upper / letters,
         "symbols": symbols / n,
@@ -61,7 +65,7 @@ def statistics(raw: bytes) -> dict[str, float]:
         "digits": counts[48:58].sum() / max(len(raw), 1),
         "ended": sum(x.endswith(_END) for x in lines) / max(len(lines), 1),
         "same_lines": 1 - len(set(lines)) / max(len(lines), 1),
-        "plain_words": sum(map(bool, map(_PLAIN.fullmatch, words))) / n,
+        "plain_words": sum(k for w, k in each.items() if _PLAIN.fullmatch(w)) / n,
     }
 
 
@@ -143,8 +147,8 @@ def hashed(raw: bytes, stats: dict[str, float]) -> tuple[np.ndarray, np.ndarray]
         count = np.bincount((h % _U(DIM)).astype(np.int64), minlength=DIM)
         at = np.flatnonzero(count)
         parts.append((at, np.sqrt(count[at] / len(h))))
-    bins = [int(k) for k in (np.digitize(x, np.geomspace(1e-3, 30, 24)) for x in stats.values())]
-    at = np.array([(7919 * (k + 1) + 104729 * j) % DIM for k, j in enumerate(bins)])
+    bins = np.searchsorted(_EDGES, list(stats.values()), "right")
+    at = (7919 * np.arange(1, len(bins) + 1) + 104729 * bins) % DIM
     parts.append((at, np.full(len(at), len(at) ** -0.5)))
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
@@ -202,7 +206,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
         return one
 
-    picked = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
+    picked = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t")).filter(F.pmod("h", F.lit(1 << 32)) < max(take) * (1 << 32))
     picked = by_row(picked, ["h", "t"], "p double, c double, at binary, value binary", sample).collect()
     samples = sorted((r.p, r.c, bytes(r.at), bytes(r.value)) for r in picked)
     if samples:
