@@ -159,12 +159,19 @@ def fit(samples: list[tuple[float, float, np.ndarray, np.ndarray]]) -> tuple[np.
     c = c / c.sum()
     row = np.repeat(np.arange(len(samples)), [len(s[2]) for s in samples])
     col, val = (np.concatenate([s[k] for s in samples]) for k in (2, 3))
+    # Sums over runs: of a row as the values stand, of a column in order of the columns.
+    starts = np.concatenate([[0], np.cumsum([len(s[2]) for s in samples])[:-1]])
+    by_col = np.argsort(col, kind="stable")
+    col_row, col_val, here = row[by_col], val[by_col], np.unique(col)
+    col_starts = np.searchsorted(col[by_col], here)
     w, b = np.zeros(DIM), 0.0
     ahead, b_ahead, speed, step = w, b, 1.0, 1 / (0.25 * 4 + RIDGE)
     for _ in range(STEPS):
-        z = np.bincount(row, val * ahead[col], len(y)) + b_ahead
+        z = np.add.reduceat(val * ahead[col], starts) + b_ahead
         miss = c * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
-        new = ahead - step * (np.bincount(col, val * miss[row], DIM) + RIDGE * ahead)
+        slope = RIDGE * ahead
+        slope[here] += np.add.reduceat(col_val * miss[col_row], col_starts)
+        new = ahead - step * slope
         b_new = b_ahead - step * miss.sum()
         faster = (1 + np.sqrt(1 + 4 * speed * speed)) / 2
         ahead, b_ahead = new + (speed - 1) / faster * (new - w), b_new + (speed - 1) / faster * (b_new - b)

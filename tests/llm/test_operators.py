@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 
@@ -550,6 +551,47 @@ def test_toxicity_pairs_without_group_terms(spark):
 
 # ---- op1 and op10 -----------------------------------------------------------
 
+GIVEN = "/root/testdata/sf0.01"
+given = pytest.mark.skipif(not os.path.isdir(GIVEN), reason="needs the given tables")
+
+
+@given
+def test_quality_classifier_held_out(spark):
+    """Labels are never read, so all of them are held out."""
+    d, lab = (spark.read.parquet(f"{GIVEN}/{t}.parquet") for t in ("documents", "labels"))
+    got = quality_classifier.scored(d).join(lab, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("k")).collect()
+    share = {r.quality: r.k for r in got}
+    assert share[1] > 0.97 and share[0] < 0.2
+
+
+@given
+def test_language_id_held_out(spark):
+    """A model of half of the texts, judged on the other half."""
+    d = spark.read.parquet(f"{GIVEN}/documents.parquet").withColumn("half", F.crc32(F.col("text").cast("binary")) % 2)
+    languages, table = language_id.model(d.filter("half = 0"))
+    null = F.lit(None).cast("string")
+    rows = d.filter("half = 1 and length(text) > 100").select("doc_id", F.col("lang").alias("truth"), "text", null.alias("page"), null.alias("url"), F.col("source").alias("site"))
+    got = language_id.identify(rows, ["doc_id", "truth"], languages, table).collect()
+    assert len(got) > 200 and np.mean([r.lang == r.truth for r in got]) > 0.97
+
+
+@given
+def test_toxicity_held_out_and_its_pairs(spark):
+    d, lab = (spark.read.parquet(f"{GIVEN}/{t}.parquet") for t in ("documents", "labels"))
+    fair, plain = toxicity.train(d, lab), toxicity.train(d, lab, swap_penalty=0.0)
+    assert fair.n_pairs > 0 and fair.gap <= plain.gap
+    got = toxicity.report(d, lab).filter("held_out").join(lab, "doc_id").collect()
+    assert np.mean([r.predicted == r.toxic for r in got]) > 0.95
+
+
+def test_language_id_long_texts_and_clashing_columns(spark):
+    long = "der und die das ist nicht ein " * 20_000
+    d = spark.createDataFrame([(k, t, "de" if k % 2 else "en", "s", 1, "x") for k, t in enumerate(["the and of is not a " * 30, long] * 20)], "doc_id bigint, text string, lang string, source string, host int, posterior string")
+    p = spark.createDataFrame([(1, "http://x.de/", "<html lang=de>" + long), (2, None, None), (3, "http://y.com", "")], "page_id bigint, url string, html string")
+    got = language_id.report(d, p.withColumn("lang", F.lit(3))).collect()
+    assert len(got) == 43 and all(r.lang == ("de" if r.doc_id % 2 else "en") for r in got if r.doc_id is not None)
+
+
 def test_quality_classifier(spark):
     rng = random.Random(2)
     syllable = lambda: rng.choice(["ta", "ren", "so", "mi", "lor", "en", "ka"])
