@@ -7,18 +7,22 @@ numbers, so two shuffles on ``unit_id`` and small tables do.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from annotrail.functions.scalar import pearson, ratio
 from annotrail.operators.ratings import complete_cases, encoded, mid_ranks, paired, ratings_wide
+from annotrail.session import ship
 
 LEVELS = ("nominal", "ordinal", "interval", "ratio")
-#: Different values up to which the ratio-level disagreement, quadratic in them, is computed.
-MAX_RATIO_VALUES = 20_000
+#: Different values in a block of the ratio-level disagreement, which is quadratic in them.
+BLOCK = 4096
 
 
 def _joined(parts: list[DataFrame]) -> DataFrame:
@@ -81,25 +85,47 @@ def alpha_ordinal(ratings: DataFrame) -> DataFrame:
 def alpha_ratio(ratings: DataFrame) -> DataFrame:
     """Ratio alpha, whose distance is ((a - b) / (a + b)) ** 2.
 
-    Each value meets the list of all values, at most ``MAX_RATIO_VALUES``, within its row; no pairs are emitted.
+    The expected distance is over all pairs of different values, however many there are: values are dealt to blocks of about
+    ``BLOCK``, and blocks meet blocks, a matrix in memory at a time. No row is made for a pair of values.
     """
+    ship(ratings.sparkSession)
     r = _pairable(ratings)
     values = r.groupBy("num").agg(F.count("*").alias("k"))
-    listed = values.agg(F.collect_list(F.struct("num", "k")).alias("all"), F.sum("k").alias("N"))
-    listed = listed.withColumn("all", F.when(F.size("all") <= MAX_RATIO_VALUES, F.col("all")).otherwise(F.raise_error(F.lit("too many different values for ratio alpha")).cast("array<struct<num:double,k:bigint>>")))
+    blocks = max(1, -(-values.count() // BLOCK))
+    block = F.pmod(F.xxhash64("num"), F.lit(blocks)).cast("int")
+    rows = values.groupBy(block.alias("i")).agg(F.collect_list("num").alias("x"), F.collect_list(F.col("k").cast("double")).alias("xk"))
+    left = rows.withColumn("j", F.explode(F.sequence(F.col("i"), F.lit(blocks - 1))))
+    both = left.join(rows.select(F.col("i").alias("j"), F.col("x").alias("y"), F.col("xk").alias("yk")), "j").select("i", "j", "x", "xk", "y", "yk")
+    part = both.mapInArrow(_block_distance, "distance double")
+    total = values.agg(F.sum("k").alias("N"))
+    de = _joined([part.agg(F.sum("distance").alias("d")), total]).select(ratio(F.col("d"), F.col("N") - 1).alias("de"))
 
     def gap(a: Column, b: Column) -> Column:
         d = F.try_divide(a - b, a + b)
         return F.coalesce(d * d, F.lit(0.0))
 
-    each = F.aggregate("all", F.lit(0.0), lambda s, v: s + v["k"] * gap(F.col("num"), v["num"]))
-    de = _crossed(values, listed).agg(ratio(F.sum(F.col("k") * each), F.first("N") - 1).alias("de"))
     unit = r.groupBy("unit_id").agg(F.collect_list("num").alias("xs"), F.first("m").alias("m"))
     inner = F.aggregate("xs", F.lit(0.0), lambda s, a: s + F.aggregate("xs", F.lit(0.0), lambda t, b: t + gap(a, b)))
     do = unit.agg(F.sum(inner / (F.col("m") - 1)).alias("do"))
     return _joined([de, do]).select(F.when(F.col("de") == 0, 1.0).otherwise(1 - ratio(F.col("do"), F.col("de"))).alias("alpha_ratio"))
 
 
+def _block_distance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The weighted distances between two blocks of values, once for a block with itself and twice for others."""
+    for batch in batches:
+        out = []
+        for k in range(batch.num_rows):
+            x, xk, y, yk = (batch.column(c)[k].values.to_numpy() for c in ("x", "xk", "y", "yk"))
+            total = 0.0
+            for at in range(0, len(x), 256):
+                a = x[at : at + 256, None]
+                both = a + y[None, :]
+                d = np.divide(a - y[None, :], both, out=np.zeros(both.shape), where=both != 0)
+                total += float(xk[at : at + 256] @ (d * d) @ yk)
+            out.append(total * (1 if batch.column("i")[k] == batch.column("j")[k] else 2))
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64())], names=["distance"])
+
+
 def _crossed(rows: DataFrame, one: DataFrame) -> DataFrame:
     """Rows beside a table of one row."""
     return rows.crossJoin(F.broadcast(one))

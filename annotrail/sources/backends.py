@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from annotrail.plans.codebook import Codebook
+from annotrail.session import ship
 
 
 #: Columns on what an answer took, which a backend may add.
@@ -65,6 +66,7 @@ class CallBackend:
         self.ask = ask
 
     def answer(self, units: DataFrame, codebook: Codebook, options: dict) -> DataFrame:
+        ship(units.sparkSession)
         ask, prompt = self.ask, codebook.prompt()
         active, stop = int(options.get("max_active", 10)), options.get("on_error", "return") == "stop"
         parts = units.rdd.getNumPartitions() if options.get("rpm") else 1

@@ -199,3 +199,23 @@ def test_compare_and_validate_objects(spark):
     with pytest.warns(UserWarning, match="average"):
         lineage.validate(coder(spark, [1, 2], "n"), coder(spark, [1, 2], "n"), "n", level="ordinal", average="micro")
     assert lineage.validate(coder(spark, "ABABABABAB", "category"), coder(spark, "ABABABABABA", "category", 5), "category").n == 6
+
+
+def test_ratio_alpha_of_many_values(spark, monkeypatch):
+    """Blocks of values against blocks give what all pairs give; ratios over zero sums count nothing."""
+    import numpy as np
+
+    monkeypatch.setattr(reliability, "BLOCK", 64)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.gamma(2.0, 3.0, (400, 2)), [[0.0, 0.0], [2.0, -2.0]]])
+    rows = [(str(k), r, str(v), float(v)) for k, pair in enumerate(x) for r, v in zip("ab", pair)]
+    got = reliability.alpha_ratio(spark.createDataFrame(rows, "unit_id string, rater_id string, code string, num double")).first()[0]
+
+    def gap(a, b):
+        s = a + b
+        return np.divide(a - b, s, out=np.zeros(np.broadcast(a, b).shape), where=s != 0) ** 2
+
+    v = x.ravel()
+    expected = gap(v[:, None], v[None, :]).sum() / (len(v) - 1)
+    observed = 2 * gap(x[:, 0], x[:, 1]).sum()
+    assert got == pytest.approx(1 - observed / expected, rel=1e-9)
