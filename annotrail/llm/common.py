@@ -26,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Where a session names none (a test on one machine), a temporary one is set.
+    Where a session names none, a temporary one is set if the master is this machine; otherwise there is none to share.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
@@ -34,6 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
         if jvm_dir.isDefined():
             found = os.path.dirname(jvm_dir.get())
         else:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             found = "file://" + tempfile.mkdtemp(prefix="annotrail-")
             spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -44,7 +46,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
     The files outlive lost executors and go when the driver's JVM ends.
     """
-    spark = df.sparkSession
+    spark = ship(df.sparkSession)
     path = f"{shared_dir(spark)}/annotrail-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm
@@ -66,6 +68,7 @@ def by_row(
     ``make`` runs once a task, so it may build tables. Results leave in
     batches bounded in rows and in bytes, whatever the length of a text.
     """
+    ship(df.sparkSession)
     src = df.select(*[F.col(f"`{c}`") for c in columns])
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 

@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from annotrail.llm.common import by_row, like, perhaps, stored
 from annotrail.llm.components import components
+from annotrail.session import ship
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -119,6 +120,7 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], registers: int = REGIS
 
 def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id_col, id (MD5 of the text) and sig for each row whose text has a word; null sig otherwise."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("t"))
     kind = pa.schema([("id", pa.binary()), ("sig", pa.list_(pa.int32()))])
 
