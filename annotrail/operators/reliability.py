@@ -1,8 +1,9 @@
 """Agreement of two or more raters.
 
-``compare`` takes ratings and returns one row of statistics. Everything is
-arithmetic over counts by unit and code, over counts by value, or over sums of
-numbers, so two shuffles on ``unit_id`` and small tables do.
+``compare`` takes ratings and returns one row of statistics, from counts of the
+combinations of codes where they are few (``cells``). The single statistics here
+need no complete cases: they are arithmetic over counts by unit and code, over
+counts by value, or over sums of numbers.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from annotrail.functions.scalar import pearson, ratio
+from annotrail.operators import cells
 from annotrail.operators.ratings import complete_cases, encoded, mid_ranks, paired, ratings_wide
 from annotrail.session import ship
 
@@ -204,6 +206,9 @@ def compare(
     if level not in LEVELS:
         raise ValueError(f"level must be one of {', '.join(LEVELS)}")
     m = len(raters)
+    found = _from_cells(ratings, raters, level, tolerance, order, compat) if level != "ratio" else None
+    if found is not None:
+        return found
     r = complete_cases(ratings, m)
     head = r.agg(F.lit(level).alias("level"), (F.count("*") / m).cast("long").alias("subjects"), F.lit(m).alias("raters"))
     if level == "nominal":
@@ -226,6 +231,25 @@ def compare(
     return _joined([head, *parts])
 
 
+def _from_cells(ratings: DataFrame, raters: list[str], level: str, tolerance: float, order: list[str] | None, compat: bool) -> DataFrame | None:
+    """The row from counts of combinations; None if there is none, or too many of them, or codes that ``order`` hasn't."""
+    m = len(raters)
+    rows = cells.combinations(ratings, raters).limit(cells.MAX_CELLS + 1).toArrow()
+    if not 0 < len(rows) <= cells.MAX_CELLS:
+        return None
+    code = np.stack([rows[f"code{k}"].to_numpy() for k in range(m)], axis=1)
+    if order and not set(code.ravel()) <= set(order):
+        return None
+    num = np.stack([rows[f"num{k}"].to_numpy().astype(float) for k in range(m)], axis=1)
+    n = rows["n"].to_numpy().astype(float)
+    if level == "interval" and np.isnan(num).any():
+        return None
+    stats = cells.statistics(code, num, n, level, tolerance, order, compat)
+    stats = {k: None if isinstance(v, float) and np.isnan(v) else v for k, v in stats.items()}
+    kinds = ", ".join(["level string, subjects bigint, raters int", *(f"{k} {'string' if k == 'kappa_type' else 'double'}" for k in stats)])
+    return ratings.sparkSession.createDataFrame([(level, int(n.sum()), m, *stats.values())], kinds)
+
+
 def _texts(ratings: DataFrame) -> bool:
     """Whether some code is no number."""
     return not ratings.filter("code is not null and num is null").isEmpty()

@@ -219,3 +219,21 @@ def test_ratio_alpha_of_many_values(spark, monkeypatch):
     expected = gap(v[:, None], v[None, :]).sum() / (len(v) - 1)
     observed = 2 * gap(x[:, 0], x[:, 1]).sum()
     assert got == pytest.approx(1 - observed / expected, rel=1e-9)
+
+
+@pytest.mark.parametrize("level", ["nominal", "ordinal", "interval"])
+@pytest.mark.parametrize("m", [2, 3])
+def test_cells_equal_the_long_way(spark, monkeypatch, level, m):
+    """Counts of combinations give the same row as joins and windows do; gaps and equal codes included."""
+    from annotrail.operators import cells
+
+    rng = random.Random(31)
+    names = "abc"[:m]
+    rows = [(str(u), r, str(v), float(v)) for u in range(300) for r, v in zip(names, [min(9, max(1, u % 7 + rng.randrange(3))) for _ in names]) if rng.random() > 0.1]
+    d = spark.createDataFrame(rows, "unit_id string, rater_id string, code string, num double")
+    short = reliability.compare(d, list(names), level, 1.0).first().asDict()
+    monkeypatch.setattr(cells, "MAX_CELLS", 0)
+    long = reliability.compare(d, list(names), level, 1.0).first().asDict()
+    assert list(short) == list(long)
+    for k, v in long.items():
+        assert short[k] == (pytest.approx(v, rel=1e-9) if isinstance(v, float) else v), k
