@@ -354,7 +354,7 @@ def prompts(spark, sf_dir):
 
 
 @_query("SELECT * FROM (VALUES ('temperature', 'chat'), ('max_active', 'send'), ('wait', 'batch send'), ('colour', 'unknown')) v(option, goes)")
-def option_routing(spark, sf_dir):
+def routed_options(spark, sf_dir):
     options = {"temperature": 0, "max_active": 3, "wait": True, "colour": 1}
     with warnings.catch_warnings(record=True) as seen:
         warnings.simplefilter("always")
