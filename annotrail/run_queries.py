@@ -112,8 +112,8 @@ def enum_conform(spark, sf_dir):
 
 @_query("SELECT 'labels.parquet' AS unit_id UNION ALL SELECT 'nation.parquet'")
 def image_units(spark, sf_dir):
-    """Units of files, by name; the bytes are never read."""
-    return images(spark, f"{sf_dir}/{{labels,nation}}.parquet").select("unit_id")
+    """Units of files, by name, a table in parts as one; the bytes are never read."""
+    return images(spark, f"{sf_dir}/{{labels,nation}}.parquet", folders=True).select("unit_id")
 
 
 @_query("SELECT 'Sentiment analysis' AS name UNION ALL SELECT 'converted'")

@@ -39,6 +39,12 @@ def _path(spark: SparkSession, path: str):
     return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jpath
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with scheme and authority, as Spark's readers name it."""
+    fs, jpath = _path(spark, path)
+    return fs.makeQualified(jpath).toString()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, jpath = _path(spark, path)
     return fs.exists(jpath)

@@ -8,6 +8,7 @@ a service is called from the executors, a bounded number of requests at a time.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from annotrail.plans.codebook import Codebook
-from annotrail.session import ship
+from annotrail.session import qualified, ship
 
 
 #: Columns on what an answer took, which a backend may add.
@@ -127,7 +128,16 @@ def texts(df: DataFrame, id_col: str | None = "doc_id", text_col: str = "text")
     return df.select(F.col(id_col).cast("string").alias("unit_id"), F.col(text_col).alias("content"))
 
 
-def images(spark: SparkSession, path: str) -> DataFrame:
-    """Units (unit_id, content) of image files; content is the path, the bytes stay with the files."""
-    files = spark.read.format("binaryFile").load(path)
+def images(spark: SparkSession, path: str, folders: bool = False) -> DataFrame:
+    """Units (unit_id, content) of image files; content is the path, the bytes stay with the files.
+
+    With ``folders`` each name that matches ``path`` is one unit: a file, or a folder with all files below it.
+    Files without a byte, hidden ones and folders of nothing else are no units.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", folders).load(path).select("path")
+    if folders:
+        if re.search(r"\{[^}]*/", path):
+            raise ValueError("braces in the path of folders must not contain a slash")
+        parts = qualified(spark, path).count("/") + 1  # what matches has as many names in its path as the pattern
+        files = files.select(F.substring_index("path", "/", parts).alias("path")).distinct()
     return files.select(F.substring_index("path", "/", -1).alias("unit_id"), F.col("path").alias("content"))

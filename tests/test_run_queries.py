@@ -9,6 +9,7 @@ import pytest
 
 from annotrail import run_queries
 from annotrail.queries import ORACLE, QUERIES
+from annotrail.sources.backends import images
 
 DATA = "/root/testdata/sf0.001"
 NAMES = [n for n, f in QUERIES.items() if f.__module__ == run_queries.__name__]
@@ -38,3 +39,24 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted(names) == columns
     rows = [dict(zip(names, r, strict=True)) for r in found.fetchall()]
     assert sorted(tuple(plain(r[c]) for c in columns) for r in df.collect()) == sorted(tuple(plain(r[c]) for c in columns) for r in rows)
+
+
+def test_units_of_tables_in_parts(spark, tmp_path):
+    """A table of several files, in folders of its partitions too, is one unit; so is a table of one file."""
+    for name in ("labels.parquet/part-0.parquet", "labels.parquet/part-1.parquet", "labels.parquet/toxic=1/part-0.parquet", "labels.parquet/_SUCCESS", "nation.parquet", "region.parquet"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    wanted = sorted(duckdb.sql(ORACLE["image_units"]).fetchall())
+    for path in (str(tmp_path), f"{tmp_path}/", f"file:{tmp_path}", os.path.relpath(tmp_path)):
+        assert sorted(tuple(r) for r in QUERIES["image_units"](spark, path).collect()) == wanted
+
+
+def test_units_of_folders(spark, tmp_path):
+    for name in ("one/a.png", "one/b/c.png", "two/a.png", "three.png"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    found = {r.unit_id: r.content for r in images(spark, f"{tmp_path}/*", folders=True).collect()}
+    assert found == {n: f"file:{tmp_path}/{n}" for n in ("one", "two", "three.png")}
+    assert [r.unit_id for r in images(spark, str(tmp_path), folders=True).collect()] == [tmp_path.name]
+    with pytest.raises(ValueError):
+        images(spark, f"{tmp_path}/{{one/a,two}}*", folders=True)
